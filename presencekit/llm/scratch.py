@@ -1,0 +1,50 @@
+"""Shared-folder checkpoints: intermediate tables that survive the loss of executors."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ship
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on
+    one machine) a new local one, set for the session."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="presencekit-"))
+        at = sc.getCheckpointDir()
+    return at.rstrip("/")
+
+
+class Scratch:
+    """Writes tables under the shared folder; ``drop`` deletes those no longer read."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        ship(spark)
+        self.spark, self.base = spark, f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet and read back with its schema: a cut in the lineage."""
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/{name}")
+        return self.read(name, df.schema)
+
+    def read(self, name: str, schema=None) -> DataFrame:
+        r = self.spark.read
+        return (r.schema(schema) if schema is not None else r).parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark._jvm
+        for n in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle, as the session sets them."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
