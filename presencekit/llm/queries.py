@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, rules, topk, toxicity
+from . import linedup, minhash, mixing, packing, quality, rules, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(spark, _table(spark, sf, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.dedup_substrings(spark, _table(spark, sf, "documents"))
+
+
+def op3_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return linedup.dedup_lines(spark, _table(spark, sf, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_report(spark, _table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -29,6 +37,10 @@ def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(spark, _table(spark, sf, "embeddings"))
 
 
+def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _table(spark, sf, "documents"), shingle=4)
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -38,7 +50,7 @@ def op10_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_quality, op5_packing, op6_topk, op8_toxicity, op10_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_substrings, op3_lines, op4_quality, op5_packing, op6_topk, op7_minhash, op8_toxicity, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
