@@ -36,13 +36,13 @@ def cut(part: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part[edge[i : i + 64]].astype(np.int32)), pa.array(data[i : i + 64], pa.binary())], names=["part", "data"])
 
 
-def scatter(records: Iterator[tuple[np.ndarray, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+def scatter(records: Iterator[tuple[np.ndarray, list[np.ndarray]]], flush: int = FLUSH) -> Iterator[pa.RecordBatch]:
     """``records``: (part of each record, its columns), again and again."""
     held, n = [], 0
     for part, cols in records:
         held.append((part, cols))
         n += len(part)
-        if n >= FLUSH:
+        if n >= flush:
             yield from cut(np.concatenate([p for p, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held))])
             held, n = [], 0
     if n:

@@ -14,30 +14,30 @@ from . import textops
 BITS, HASHES = 24, 3
 
 
-def places(keys: np.ndarray) -> np.ndarray:
+def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = textops.mix(textops.unsigned(keys.astype(np.int64)))
-    return np.stack([(h >> np.uint64(20 * i)) & np.uint64((1 << BITS) - 1) for i in range(HASHES)]).astype(np.int64)
+    return [((h >> np.uint64((64 - bits) * i // max(1, HASHES - 1))) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def build(df: DataFrame, column: str) -> np.ndarray:
-    """Bits of all values of a BIGINT column."""
+def build(df: DataFrame, column: str, size: int = BITS) -> np.ndarray:
+    """Filter of 2**size bits with all values of a BIGINT column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITS, bool)
+        bits = np.zeros(1 << size, bool)
         for b in batches:
-            bits[places(b.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
+            for at in places(b.column(0).to_numpy(zero_copy_only=False), size):
+                bits[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
 
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in df.select(column).filter(f"{column} is not null").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():  # at most 8 rows of 2 MB
+    out = np.zeros((1 << size) // 8, np.uint8)
+    for r in df.select(column).filter(f"{column} is not null").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():  # at most 8 rows, one at a time
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def has(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    p = places(keys)
     out = np.ones(len(keys), bool)
-    for x in p:
+    for x in places(keys, len(bits).bit_length() + 2):
         out &= (bits[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
     return out
 

@@ -281,7 +281,7 @@ def _clean(rows: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
     """(f, match): every line set with an earlier one within the threshold, and one such."""
     counts = sc.save(vocabulary.word_counts(docs), "words")
-    words, c = vocabulary.frequent(counts, "w", FREQUENT)
+    words, c, _ = vocabulary.frequent(counts, "w", FREQUENT, 2)
     rank = np.empty(len(words), np.uint64)
     rank[np.lexsort((words, c))] = np.arange(len(words), dtype=np.uint64)
     order = (words, rank, c)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linedup, minhash, mixing, packing, quality, rules, substrings, topk, toxicity
+from . import katz, linedup, minhash, mixing, packing, quality, rules, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op9_katz(spark: SparkSession, sf: str) -> DataFrame:
+    return katz.katz_scores(spark, _table(spark, sf, "documents"))
+
+
 def op10_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.rules_report(_table(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_substrings, op3_lines, op4_quality, op5_packing, op6_topk, op7_minhash, op8_toxicity, op10_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_substrings, op3_lines, op4_quality, op5_packing, op6_topk, op7_minhash, op8_toxicity, op9_katz, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

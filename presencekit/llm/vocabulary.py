@@ -54,17 +54,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return exchange.shuffled(docs.select("text").mapInArrow(emit, exchange.SCHEMA)).mapInArrow(add, "w long, c long")
 
 
-def frequent(counts: DataFrame, key: str, limit: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes sorted, counts) of all keys with a count of at least some power of two, the lowest (not under ``least``)
-    that leaves ``limit`` keys at most."""
-    level = F.floor(F.log2(F.col("c").cast("double") + 0.5)).cast("int")
-    sizes = sorted(((r["l"], r["n"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 rows
+def level(counts: DataFrame, limit: int, least: int = 1) -> int:
+    """The lowest power of two (not under ``least``) that at most ``limit`` counts c reach."""
+    at = F.floor(F.log2(F.col("c").cast("double") + 0.5)).cast("int")
+    sizes = sorted(((r["l"], r["n"]) for r in counts.groupBy(at.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 rows
     low, have = 63, 0
-    for at, n in sizes:
+    for x, n in sizes:
         if have + n > limit:
-            break
-        low, have = at, have + n
-    rows = counts.filter(F.col("c") >= max(least, 2**low)).select(key, "c").toPandas()  # ``limit`` rows at most
-    k = textops.unsigned(rows[key].to_numpy(np.int64))
+            return max(least, 2**low)
+        low, have = x, have + n
+    return least
+
+
+def frequent(counts: DataFrame, key: str, limit: int, least: int = 1, more: str | None = None) -> tuple[np.ndarray, ...]:
+    """(keys sorted, counts[, values of column ``more``], level) of the keys that reach ``level``: at most ``limit``."""
+    low = level(counts, limit, least)
+    t = counts.filter(F.col("c") >= low).select(key, "c", *[more] * bool(more)).toArrow()
+    k = textops.unsigned(t.column(key).to_numpy().astype(np.int64))
     order = np.argsort(k)
-    return k[order], rows["c"].to_numpy(np.int64)[order]
+    return (k[order], *(t.column(c).to_numpy()[order] for c in ["c", *[more] * bool(more)]), low)
