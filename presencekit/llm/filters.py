@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textops
 
@@ -42,8 +43,8 @@ def has(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def keep(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be in the filter."""
+def keep(df: DataFrame, column: str, bits: np.ndarray, maybe: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in the filter, or (``maybe`` false) the others; null is not in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,7 +52,18 @@ def keep(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
             ok = has(c.fill_null(0).to_numpy(zero_copy_only=False), bits)
             if c.null_count:
                 ok &= c.is_valid().to_numpy(zero_copy_only=False)
+            if not maybe:
+                ok = ~ok
             if ok.any():
                 yield b.filter(pa.array(ok))
 
     return df.mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``df`` less the rows whose ``column`` is in ``gone`` (one column of the same name, written once). Only rows that the filter
+    does not clear are shuffled."""
+    bits = build(gone, column)
+    row = df.select(F.col(column).alias("_key"), F.struct("*").alias("_row"))
+    rest = keep(row, "_key", bits).join(gone.select(F.col(column).alias("_key")), "_key", "left_anti")
+    return rest.select("_row.*").unionByName(keep(row, "_key", bits, False).select("_row.*"))

@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange, filters, textops, vocabulary
 from .scratch import Scratch
-from .substrings import _without
 
 U = np.uint64
 #: Entries of the frequent-word table, lines of one block of a long list, candidates a list gives a line at first.
@@ -244,10 +244,10 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Dat
     return pairs.join(side("a"), "fa").join(side("b"), "fb").select("fa", "fb", "wa", "wb").mapInArrow(run, "fa long, fb long")
 
 
-RESULT = "doc_id long, n_lines int, n_removed int, removed array<int>, text string"
-
-
 def _clean(rows: DataFrame) -> DataFrame:
+    carried = [f for f in rows.schema if f.name == "_rest"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType()), *carried])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lost_col = b.column("lost").to_pylist() if "lost" in b.schema.names else None
@@ -270,12 +270,10 @@ def _clean(rows: DataFrame) -> DataFrame:
                     texts.append(text)
                     removed.append(g.astype(np.int32))
                     total.append(cut[r + 1] - cut[r])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), pa.array(total, pa.int32()), pa.array([len(g) for g in removed], pa.int32()), pa.array(removed, pa.list_(pa.int32())), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_lines", "n_removed", "removed", "text"],
-                )
+                cols = [b.column("doc_id").slice(i, j - i), pa.array(total, pa.int32()), pa.array([len(g) for g in removed], pa.int32()), pa.array(removed, pa.list_(pa.int32())), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(cols + [b.column("_rest").slice(i, j - i) for _ in carried], names=schema.names)
 
-    return rows.mapInArrow(run, RESULT)
+    return rows.mapInArrow(run, schema)
 
 
 def similar_sets(docs: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
@@ -314,15 +312,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]
     hits = line_rows(docs, filters.build(rules, "f")).join(rules, "f").filter(F.col("all") | (F.col("doc_id") > F.col("keeper")))
     lost = sc.save(hits.select("doc_id", "f").distinct().groupBy("doc_id").agg(F.collect_list("f").alias("lost")), "lost")
     touched = filters.build(lost, "doc_id")
-    rows = docs.select("doc_id", "text")
-    return _clean(filters.keep(rows, "doc_id", touched).join(lost, "doc_id", "left").select("doc_id", "text", "lost")).unionByName(_clean(_without(rows, touched)))
+    rows = docs.select("doc_id", "text", *[c for c in docs.columns if c == "_rest"])
+    return _clean(filters.keep(rows, "doc_id", touched).join(lost, "doc_id", "left")).unionByName(_clean(filters.keep(rows, "doc_id", touched, False)))
 
 
 def filter_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with the cleaned text in place of text; all columns stay. Documents of whose words nothing is left go."""
-    sc = Scratch(spark, "lines_kept")
-    clean = sc.save(dedup_lines(spark, docs.select("doc_id", "text"), threshold).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), (F.col("n_lines") == F.col("n_removed")).alias("_none")).dropDuplicates(["_id"]), "changed")
-    row = docs.select(F.struct("*").alias("_row"))
-    out = row.join(clean, row["_row.doc_id"] == clean["_id"], "left").filter(~F.coalesce("_none", F.lit(False)))
-    names = docs.columns
-    return out.select(*[(F.when(F.col("_id").isNotNull(), F.col("_text")).otherwise(F.col("_row.text")).alias("text") if c == "text" else F.col("_row").getField(c).alias(c)) for c in names])
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(True).alias("_")).alias("_rest"))
+    clean = dedup_lines(spark, packed, threshold).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return clean.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns])

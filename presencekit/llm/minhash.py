@@ -236,6 +236,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, thre
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with one document, the smallest id, of each component; all columns stay."""
-    gone = near_duplicates(spark, docs.select("doc_id", "text"), shingle, threshold).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    row = docs.select(F.struct("*").alias("_row"))
-    return row.join(gone, row["_row.doc_id"] == gone["_gone"], "left_anti").select("_row.*")
+    gone = near_duplicates(spark, docs.select("doc_id", "text"), shingle, threshold).filter("not kept").select("doc_id").distinct()
+    return filters.without(docs, "doc_id", Scratch(spark, "near").save(gone, "gone"))

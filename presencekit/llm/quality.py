@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textops
+from . import filters, textops
 from .scratch import Scratch
 
 NAMES = ("log_words", "symbols", "marks", "upper", "pipes", "digits", "distinct", "stutter", "stops", "word_length", "long_lines", "dup_lines")
@@ -171,8 +171,8 @@ def quality_report(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **kw) -> DataFrame:
-    """The documents that the classifier keeps, with all columns of ``docs``. A document whose id is null or
-    not unique is kept if any row of that id is."""
-    keep = quality_report(spark, docs, labels, threshold, **kw).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    row = docs.select(F.struct("*").alias("_row"))
-    return row.join(keep, row["_row.doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi").select("_row.*")
+    """The documents that the classifier keeps, with all columns of ``docs``. Rows of one id stay if any of them is kept; rows
+    without an id stay."""
+    judged = quality_report(spark, docs, labels, threshold, **kw).filter("doc_id is not null")
+    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    return filters.without(docs, "doc_id", Scratch(spark, "quality").save(gone, "gone"))

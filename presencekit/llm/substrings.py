@@ -154,17 +154,5 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = 25)
     touched = filters.build(lost, "doc_id")
     rows = docs.select("doc_id", "text")
     hit = filters.keep(rows, "doc_id", touched)
-    return _clean(hit.join(lost, "doc_id", "left").select("doc_id", "text", "lost"), min_words).unionByName(_clean(_without(rows, touched), min_words))
+    return _clean(hit.join(lost, "doc_id", "left").select("doc_id", "text", "lost"), min_words).unionByName(_clean(filters.keep(rows, "doc_id", touched, False), min_words))
 
-
-def _without(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows whose doc_id is certainly not in the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = b.column("doc_id")
-            no = ~filters.has(c.fill_null(0).to_numpy(), bits) | ~c.is_valid().to_numpy(zero_copy_only=False)
-            if no.any():
-                yield b.filter(pa.array(no))
-
-    return rows.mapInArrow(run, rows.schema)
