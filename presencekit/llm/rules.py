@@ -24,52 +24,62 @@ def strip_to(text: Column, drop: str) -> Column:
 
 
 def has_word(line: Column) -> Column:
-    return F.length(strip_to(line, BLANK)) > 0
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text."""
-    return F.filter(F.split(F.translate(text, BLANK, " " * len(BLANK)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, BLANK, " " * len(BLANK)), " "), "")
+
+
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once and not at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def windows(words: Column, n: int) -> Column:
+    """64-bit hash of each ``n``-word window: of one word, doubled while it fits, the rest added word by word."""
+    drop = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a) - F.lit(k), F.lit(0)))
+    join = lambda a, b: F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
+
+    def grow(h: Column, have: Column, size: int) -> Column:
+        if size == n:
+            return have
+        if 2 * size <= n:
+            return once(join(have, drop(have, size)), lambda x: grow(h, x, 2 * size))
+        return once(join(have, drop(h, size)), lambda x: grow(h, x, size + 1))
+
+    return once(F.transform(words, lambda w: F.xxhash64(w)), lambda h: grow(h, h, 1))
 
 
 def repeat_words(words: Column, n: int = 5) -> Column:
     """Words inside ``n``-word windows that the text holds at least twice, the first included.
 
-    Windows are 64-bit hashes. Texts without a repeat, nearly all, stop at one hash set; the others sort
-    (hash, place), keep places whose neighbour has the same hash, and add up what each place covers."""
-    at = F.sequence(F.lit(0), F.size(words) - F.lit(n))
-    window = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)])
-    codes = F.transform(at, window)
-    pairs = F.array_sort(F.zip_with(codes, at, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    Texts without a repeat, nearly all, stop at one hash set of their windows; the others sort (hash, place), keep places
+    whose neighbour has the same hash, and add up what each place covers."""
 
     def covered(p: Column) -> Column:
         again = F.filter(p, lambda x, j: (x["h"] == F.get(p, j + 1)["h"]) | (x["h"] == F.get(p, j - 1)["h"]))
         return F.array_sort(F.transform(again, lambda x: x["i"]))
 
-    def once(value: Column, f) -> Column:
-        """``f`` of a value that is computed once and not at each use."""
-        return F.get(F.transform(F.array(value), f), F.lit(0))
+    def total(codes: Column) -> Column:
+        pairs = F.array_sort(F.transform(codes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        steps = lambda s: F.transform(s, lambda x, j: F.least(F.lit(n), F.coalesce(F.get(s, j + 1) - x, F.lit(n))))
+        return once(pairs, lambda p: once(covered(p), lambda s: F.aggregate(steps(s), F.lit(0), lambda a, x: a + x)))
 
-    total = once(
-        pairs,
-        lambda p: once(covered(p), lambda s: F.aggregate(F.transform(s, lambda x, j: F.least(F.lit(n), F.coalesce(F.get(s, j + 1) - x, F.lit(n)))), F.lit(0), lambda a, x: a + x)),
-    )
-    return F.when(F.size(words) < n + 1, F.lit(0)).when(once(codes, lambda c: F.size(F.array_distinct(c)) == F.size(c)), F.lit(0)).otherwise(total).cast("long")
+    found = once(windows(words, n), lambda c: F.when(F.size(F.array_distinct(c)) == F.size(c), F.lit(0)).otherwise(total(c)))
+    return F.when(F.size(words) < n + 1, F.lit(0)).otherwise(found).cast("long")
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with words is no prose: navigation, boilerplate, symbol noise, shouting or
-    a long run without any sentence punctuation."""
-    n = F.size(words_of(line))
-    low = F.lower(line)
-    symbols = F.length(line) - F.length(strip_to(line, SYMBOLS))
-    marks = lambda s: F.length(line) - F.length(F.translate(line, s, ""))
-    boiler = (n <= 25) & low.rlike("|".join(BOILERPLATE))
-    navigation = (F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("  ")))) * 4 > n
-    noise = symbols * 4 > n
-    shout = (marks("!") * 3 > n) & (n >= 3)
-    unpunctuated = (n >= 30) & (marks(".!?;:,") == 0)
-    return boiler | navigation | noise | shout | unpunctuated
+    """Whether a line is no prose: navigation bars, symbol noise, shouting, a long run without sentence punctuation, or a
+    short line with a boilerplate phrase. Marks are held against the line's length."""
+    size = F.length(line)
+    marks = lambda some: size - F.length(F.translate(line, some, ""))
+    noisy = (marks("|") * 40 > size) | (marks(SYMBOLS) * 24 > size) | ((size >= 15) & (marks("!") * 18 > size))
+    unpunctuated = (size >= 200) & ~line.rlike("[.!?;:,]")
+    boiler = (size <= 160) & F.lower(line).rlike("|".join(BOILERPLATE))
+    return F.when(line.rlike("[#*$%&|<>!]"), noisy).otherwise(F.lit(False)) | unpunctuated | boiler
 
 
 def clean_lines(docs: DataFrame, max_lost: float = 0.85) -> DataFrame:
@@ -81,15 +91,15 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.85) -> DataFrame:
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     lines = F.split(text, "\n", -1)
     d = docs.select(F.struct("*").alias("_row")).withColumn("_words", words_of(text)).withColumn("_lines", F.filter(lines, has_word))
-    d = d.withColumn("_good", F.filter(lines, lambda x: ~has_word(x) | ~line_fails(x)))
+    d = d.withColumn("_bad", F.filter("_lines", line_fails))
     chars = lambda s: F.length(strip_to(s, BLANK)).cast("long")
     d = d.select(
         "_row", F.size("_words").cast("long").alias("n_words"), chars(text).alias("word_chars"), (F.length(text) - F.length(strip_to(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeat_words(F.col("_words")).alias("n_repeat_words"), F.array_join("_good", "\n").alias("text"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeat_words(F.col("_words")).alias("n_repeat_words"),
+        chars(F.array_join("_bad", "")).alias("_lost"), F.array_join(F.filter(lines, lambda x: ~has_word(x) | ~line_fails(x)), "\n").alias("text"),
     )
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    lost = F.col("word_chars") - chars(F.col("text"))
-    d = d.withColumn("kept", ~F.col("base_failed") & (lost <= F.lit(max_lost) * F.col("word_chars")))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("_lost") <= F.lit(max_lost) * F.col("word_chars")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "text"]
     return d.select("_row.*", F.struct(*names).alias("quality"))
 
