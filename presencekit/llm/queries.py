@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import katz, linedup, minhash, mixing, packing, quality, rules, substrings, topk, toxicity
+from . import katz, linedup, minhash, mixing, packing, quality, rules, sql, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": sql.MIXING, "op6_topk": sql.TOPK, "op7_minhash": sql.MINHASH, "op10_rules": sql.rules(rules.BOILERPLATE)}
