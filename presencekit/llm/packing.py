@@ -93,61 +93,78 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = 40
     return docs.select("doc_id", "text").mapInArrow(run, PIECE + ", ids array<int>" * ids)
 
 
-def complement(count: np.ndarray, gap: int) -> list[int] | None:
-    """Up to three available lengths that sum to ``gap`` exactly: one, else the most plentiful pair, else a triple."""
-    if gap < len(count) and count[gap] > 0:
-        return [gap]
-    a = np.arange(1, gap // 2 + 1)
-    if len(a):
-        b = gap - a
-        both = np.where(a == b, count[a] // 2, np.minimum(count[a], count[b]))
-        at = len(a) - 1 - int(np.argmax(both[::-1]))
-        if both[at] > 0:
-            return [int(b[at]), int(a[at])]
-    there = np.flatnonzero(count[: gap + 1])
-    for c in there[::-1]:
-        left = gap - c
-        x = there[there <= left // 2]
-        if not len(x):
-            continue
-        y = left - x
-        need = np.stack([x, y, np.full(len(x), c)])
-        ok = np.ones(len(x), bool)
-        for k in need:
-            ok &= count[k] >= (need == k).sum(0)
-        if ok.any():
-            at = int(np.flatnonzero(ok)[-1])
-            return [int(c), int(y[at]), int(x[at])]
-    return None
+class Available:
+    """Counts by length, with the lengths that are left as the bits of two whole numbers, one of them mirrored: a shift and
+    an AND then show all pairs of a given sum at once."""
+
+    def __init__(self, count: np.ndarray) -> None:
+        self.count = [int(c) for c in count]
+        self.top = len(count) - 1
+        self.bits = sum(1 << n for n, c in enumerate(self.count) if c)
+        self.mirror = sum(1 << (self.top - n) for n, c in enumerate(self.count) if c)
+
+    def take(self, n: int, times: int = 1) -> None:
+        self.count[n] -= times
+        if not self.count[n]:
+            self.bits &= ~(1 << n)
+            self.mirror &= ~(1 << (self.top - n))
+
+    def give(self, n: int) -> None:
+        self.count[n] += 1
+        self.bits |= 1 << n
+        self.mirror |= 1 << (self.top - n)
+
+    def longest(self, gap: int) -> int:
+        return (self.bits & ((1 << (gap + 1)) - 1)).bit_length() - 1
+
+    def pair(self, total: int) -> list[int] | None:
+        """The most even pair that sums to ``total``."""
+        both = self.bits & (self.mirror >> (self.top - total)) & ((1 << (total // 2 + 1)) - 1)
+        if total % 2 == 0 and self.count[total // 2] < 2:
+            both &= ~(1 << (total // 2))
+        a = both.bit_length() - 1
+        return [total - a, a] if a > 0 else None
+
+    def complement(self, gap: int) -> list[int] | None:
+        """Up to three lengths that sum to ``gap`` exactly: one, else a pair, else a triple, even ones before uneven ones."""
+        if self.count[gap]:
+            return [gap]
+        if got := self.pair(gap):
+            return got
+        left = self.bits & ((1 << (gap - 1)) - 1) & ~((1 << (gap // 3)) - 1)
+        while left:
+            c = (left & -left).bit_length() - 1
+            left &= left - 1
+            self.take(c)
+            got = self.pair(gap - c)
+            self.give(c)
+            if got:
+                return [c, *got]
+        return None
 
 
 def pack_lengths(count: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """(lengths of one sequence, how many such sequences) that use up ``count`` (pieces by length).
 
     Each entry empties a length or leaves fewer of it than the pattern takes, so entries are bounded by the capacity."""
-    count, plan = count.copy(), []
-    top = capacity
-    while top:
-        if count[top] == 0:
-            top -= 1
-            continue
-        got, gap = [top], capacity - top
-        count[top] -= 1
-        while gap:
-            more = complement(count, gap)
-            if more is None:
-                fits = np.flatnonzero(count[: gap + 1])
-                if not len(fits):
-                    break
-                more = [int(fits[-1])]
+    left, plan = Available(count), []
+    while (top := left.longest(capacity)) > 0:
+        got, gap = [], capacity
+        more: list[int] | None = [top]
+        while more:
             for x in more:
-                count[x] -= 1
+                left.take(x)
             got += more
             gap -= sum(more)
-        kinds, uses = np.unique(got, return_counts=True)
-        times = 1 + int((count[kinds] // uses).min())
-        count[kinds] -= uses * (times - 1)
-        plan.append((got, times))
+            more = None
+            if gap and (more := left.complement(gap)) is None and (n := left.longest(gap)) > 0:
+                more = [n]
+        uses = {x: got.count(x) for x in set(got)}
+        again = min(left.count[x] // u for x, u in uses.items())
+        if again:
+            for x, u in uses.items():
+                left.take(x, u * again)
+        plan.append((got, 1 + again))
     return plan
 
 
