@@ -140,17 +140,21 @@ def candidates(posted: DataFrame, threshold: tuple[int, int], first: int | None,
     b whose set may be in this filter."""
     num, den = threshold
 
-    def within(cols: list[np.ndarray]):
-        key, f, parity, doc, line, n, place, side = cols
+    def entries(cols: list[np.ndarray]) -> list[np.ndarray]:
+        """The part's entries by list, document and line; of one set in one list, the first stands for all."""
+        key, f, _, doc, line, *_ = cols
         k = np.lexsort((line, doc, key))
-        key, f, doc, line = key[k], f[k], doc[k], line[k]
-        # of one set in one list, the earliest place stands for all
-        o = np.lexsort((np.arange(len(f)), f, key))
-        rep = np.ones(len(f), bool)
-        rep[o[1:]] = (f[o][1:] != f[o][:-1]) | (key[o][1:] != key[o][:-1])
-        k, key, f, doc, line = k[rep], key[rep], f[rep], doc[rep], line[rep]
-        parity, n, place, side = parity[k], n[k].astype(np.int64), place[k].astype(np.int64), side[k]
+        o = np.lexsort((np.arange(len(k)), f[k], key[k]))
+        first_of = np.ones(len(k), bool)
+        first_of[o[1:]] = (f[k][o][1:] != f[k][o][:-1]) | (key[k][o][1:] != key[k][o][:-1])
+        k = k[first_of]
+        return [c[k] for c in cols]
+
+    def meetings(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, f, parity, _, _, n, place, side = cols
+        n, place = n.astype(np.int64), place.astype(np.int64)
         start = np.searchsorted(key, key)
+        size = np.searchsorted(key, key, side="right") - start
         rank = np.arange(len(key)) - start
         wanted = rank > 0
         if asked is not None:
@@ -159,53 +163,46 @@ def candidates(posted: DataFrame, threshold: tuple[int, int], first: int | None,
         def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             na, nb = n[a], n[b]
             need = _need(na, nb, num, den)
-            ok = (np.minimum(na, nb) >= need) & (1 + np.minimum(na - place[a], nb - place[b]) - 1 >= need)
+            ok = (np.minimum(na, nb) >= need) & (np.minimum(na - place[a], nb - place[b]) >= need)
             ok &= (side[a] == 2) | (side[a] != side[b])
             ok[ok] = np.bitwise_count(parity[a[ok]] ^ parity[b[ok]]) <= (na + nb - 2 * need)[ok]
             return ok
 
-        short = np.flatnonzero(wanted & (np.bincount(np.searchsorted(np.unique(key), key))[np.searchsorted(np.unique(key), key)] <= 256)) if len(key) else np.zeros(0, np.int64)
+        live = np.flatnonzero(wanted & (size <= 256))
         step = 1
-        live = short
-        while len(live):
+        while len(live):  # all short lists at once: each entry with the one ``step`` before it
             live = live[rank[live] >= step]
             ok = passes(live - step, live)
             if ok.any():
                 yield live[ok] - step, live[ok]
             step += 1
-        is_short = np.zeros(len(key), bool)
-        is_short[short] = True
-        for b in np.flatnonzero(wanted & ~is_short):
+        for b in np.flatnonzero(wanted & (size > 256)):
             got, at = 0, start[b]
             while at < b and (first is None or got <= first):  # in order, a few thousand at a time
                 a = np.arange(at, min(b, at + 4096))
-                ok = a[passes(a, np.full(len(a), b))]
+                a = a[passes(a, np.full(len(a), b))]
                 if first is not None:
-                    ok = ok[: first + 1 - got]
-                if len(ok):
-                    got += len(ok)
-                    yield ok, np.full(len(ok), b)
+                    a = a[: first + 1 - got]
+                if len(a):
+                    got += len(a)
+                    yield a, np.full(len(a), b)
                 at += 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in exchange.gather(batches, KINDS):
-            key, f, _, doc, line, *_ = cols
-            k = np.lexsort((line, doc, key))
-            o = np.lexsort((np.arange(len(k)), f[k], key[k]))
-            rep = np.ones(len(k), bool)
-            rep[o[1:]] = (f[k][o][1:] != f[k][o][:-1]) | (key[k][o][1:] != key[k][o][:-1])
-            k = k[rep]
-            pairs = list(within(cols))
+            cols = entries(cols)
+            _, f, _, doc, line, *_ = cols
+            pairs = list(meetings(cols))
             if not pairs:
                 continue
             a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
             o = np.lexsort((a, b))
             a, b = a[o], b[o]
-            place = np.arange(len(b)) - np.searchsorted(b, b)
-            size = np.searchsorted(b, b, side="right") - np.searchsorted(b, b)
-            ok = place < (first if first is not None else len(b) + 1)
-            more = (size > first) if first is not None else np.zeros(len(b), bool)
-            a, b, more = k[a[ok]], k[b[ok]], more[ok]
+            more = np.zeros(len(b), bool)
+            if first is not None:  # the earliest ``first`` of each b
+                place = np.arange(len(b)) - np.searchsorted(b, b)
+                more = np.searchsorted(b, b, side="right") - np.searchsorted(b, b) > first
+                a, b, more = a[place < first], b[place < first], more[place < first]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(textops.signed(f[a])), pa.array(doc[a]), pa.array(line[a]), pa.array(textops.signed(f[b])), pa.array(doc[b]), pa.array(line[b]), pa.array(more)],
                 names=["fa", "doc_a", "line_a", "fb", "doc_b", "line_b", "more"],
