@@ -11,6 +11,7 @@ of all pieces share is never gathered in one task, and the rank alone tells sequ
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +25,10 @@ from . import textops
 from .scratch import Scratch
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
-#: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE = 500_000
+#: Words whose ids a task keeps to its end, first come first served, and further ones that it keeps until there are so many.
+CACHE, SPARE = 500_000, 100_000
 
-_ids: dict[str, dict[bytes, bytes]] = {}
+_ids: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _tok: dict[str, object] = {}
 
 
@@ -46,22 +47,55 @@ def _tokenizer(path: str):
     return _tok[path]
 
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b if b in _PRINTED else 256 + sorted(set(range(256)) - set(_PRINTED)).index(b) for b in range(256)}
+
+
+def _encode_words(new: set[bytes], path: str) -> dict[bytes, bytes]:
+    """Ids of each word. A word of Latin letters is one pre-token, which normalisation leaves as it is but for case, so the BPE
+    model alone encodes it; a closing comma or stop is a pre-token of its own. Other words take the whole tokenizer."""
+    tok = _tokenizer(path)
+    bpe = tok.model.tokenize
+    one = lambda ws: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)]
+    marks = dict(zip((b",", b"."), one((b",", b"."))))
+    out: dict[bytes, bytes] = {}
+    rest = []
+    for w in new:
+        mark = marks.get(w[-1:])
+        base = (w[:-1] if mark else w).decode()
+        low = base.lower()
+        if not base.isalpha() or max(base) >= "\u0250" or len(low) != len(base):
+            rest.append(w)
+            continue
+        ids = bpe(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_CHARS))
+        out[w] = struct.pack(f"<{len(ids)}I", *[x.id for x in ids]) + (mark or b"")
+    for i in range(0, len(rest), 50_000):
+        out.update(zip(rest[i : i + 50_000], one(rest[i : i + 50_000])))
+    return out
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit values.
 
     The tokenizer normalises and splits at white space, so a text's ids are those of its words in turn; each
     different word is encoded once. A-Z are lowered before the lookup, as the tokenizer does, unless the
     text may hold a special token's string, which is matched before lowering."""
-    known, tok = _ids.setdefault(path, {}), _tokenizer(path)
-    if len(known) > CACHE:
-        known.clear()
+    known, spare = _ids.setdefault(path, ({}, {}))
     split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    new = list(set().union(*split) - known.keys())
-    for i in range(0, len(new), 50_000):
-        part = new[i : i + 50_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, s)) for s in split]
+    new = set().union(*split) - known.keys()
+    if not new:
+        return [b"".join(map(known.__getitem__, s)) for s in split]
+    here = {w: spare[w] for w in new & spare.keys()}
+    here |= _encode_words(new - here.keys(), path)
+    if len(known) < CACHE:
+        known.update(here)
+        return [b"".join(map(known.__getitem__, s)) for s in split]
+    if len(spare) > SPARE:
+        spare.clear()
+    spare.update(here)
+    get = known.get
+    return [b"".join([get(w) or here[w] for w in s]) for s in split]
 
 
 def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
@@ -89,6 +123,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = 40
                         seen[n] += 1
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+        _ids.clear()  # workers live on after the task
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE + ", ids array<int>" * ids)
 
