@@ -6,9 +6,10 @@ the bucket's number finds, so that short texts band as reliably as long ones. 51
 candidates: at a similarity of 0.8 all bands miss with a chance of 2e-9. Candidates pass a Jaccard estimate corrected for
 chance collisions of registers, 5 deviations below the threshold, and are confirmed on the full shingle sets.
 
-Equal sets are one node from the start. In a band's bucket only links to its smallest id are tried at first; then,
-as long as members of one bucket lie in different components, untried pairs across components are tried, best
-estimates first, until none is left. So a bucket of n near copies costs about n links and not n squared, and the
+Equal sets are one node from the start. In a band's bucket only links to its smallest id are tried at first, then links
+between one drawn member of each component and of the smallest. Buckets that still hold several components are compared in
+full: every pair across components is judged once, in the first band it shares, inside a task and on the full sets, and one
+link for each two components comes out. So a bucket of n near copies costs about n links and not n squared, and the
 components are those of all links among candidates. Large buckets are compared in pairs of blocks, each its own group.
 """
 
@@ -29,8 +30,8 @@ U = np.uint64
 BUCKETS, ROWS, MANTISSA = 256, 5, 10
 BANDS = BUCKETS // ROWS
 EMPTY = 0xFFFF
-#: Members of a bucket that one comparison block holds, and pairs a round tries for each member and component.
-BLOCK, TRIES = 1024, 8
+#: Members of a bucket that one comparison block holds.
+BLOCK = 1024
 
 
 def registers(g: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -91,6 +92,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 k = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(part), 1))
                 for x in range(ROWS):
                     k = textops.mix(k * U(0x9E3779B97F4A7C15) + r[:, :, x])
+                k = (k & ~U(63)) | np.arange(BANDS, dtype=np.uint64)  # the low six bits tell the band
                 ids = np.repeat(part.column("id").to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(textops.signed(k.ravel())), pa.array(ids)], names=["key", "id"])
 
@@ -146,29 +148,53 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[i
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ``members`` (key, id, c, sketch) of one key and different c that may be linked, the best ``TRIES`` of each
-    member and other component in a block."""
-    least = _floor(threshold)
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which registers ``a`` and each row of ``b`` agree (BANDS where none does)."""
+    same = (a[: BANDS * ROWS] == b[:, : BANDS * ROWS]).reshape(len(b), BANDS, ROWS).all(2)
+    return np.where(same.any(1), same.argmax(1), BANDS)
+
+
+def _across(members: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
+    """Links (a, b) between ``members`` (key, p, q, side, id, c, band, sketch, text) of one key and different c: one for each two
+    components of a block that have any.
+
+    Every pair is judged in the first band it shares, by its estimate and then on the full sets, best estimates first."""
+    num, den = threshold
+    least = _floor(num / den)
 
     def pairs(t: pa.Table) -> pa.RecordBatch | None:
         ids, comp, side = (t.column(c).to_numpy() for c in ("id", "c", "side"))
-        sk = _stack(t.column("sketch"))
-        right = np.flatnonzero(side != 0)
-        out = []
+        band, sk = int(t.column("band")[0].as_py()), _stack(t.column("sketch"))
+        right, sets, done, out = np.flatnonzero(side != 0), {}, set(), []
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                buf, off = textops.buffers(t.column("text").slice(i, 1))
+                sets[i] = textops.shingle_sets(*textops.words(buf, off), shingle)[0]
+            return sets[i]
+
         for i in np.flatnonzero(side != 1):
-            far = right[comp[right] != comp[i]]
+            far = right[(comp[right] != comp[i]) & ((side[right] == 1) | (ids[right] > ids[i]))]
             est = estimate((sk[far] == sk[i]).sum(1))
-            ok = np.flatnonzero(est >= least)
-            if len(ok):
-                ok = ok[np.lexsort((-est[ok], comp[far][ok]))]
-                c = comp[far][ok]
-                ok = far[ok[np.arange(len(ok)) - np.searchsorted(c, c) < TRIES]]
-                out.append(np.column_stack([np.maximum(ids[i], ids[ok]), np.minimum(ids[i], ids[ok])]))
+            far, est = far[est >= least], est[est >= least]
+            if len(far):
+                mine = _first_shared(sk[i], sk[far]) == band
+                far, est = far[mine], est[mine]
+            for k in far[np.argsort(-est, kind="stable")]:
+                two = (min(comp[i], comp[k]), max(comp[i], comp[k]))
+                if two in done:
+                    continue
+                x, y = shingles(i), shingles(k)
+                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if den * both >= num * (len(x) + len(y) - both):
+                    done.add(two)
+                    out.append((ids[i], ids[k]))
         if not out:
             return None
-        a, b = np.concatenate(out).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        a, b = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the last group, which may go on in the next batch; a block bounds it
@@ -191,6 +217,16 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     return members.repartition(partitions(members.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
 
 
+def _delegates(at: DataFrame, salts: int = 2) -> DataFrame:
+    """Pairs of one member of each of two components of a bucket: its smallest component against each other one, the
+    members drawn by hashes of key and id, so that other buckets draw others."""
+    draw = at.groupBy("key", "c").agg(*[F.min_by("id", F.xxhash64("key", "id", F.lit(s))).alias(f"d{s}") for s in range(salts)])
+    low = draw.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *[F.min_by(f"d{s}", "c").alias(f"e{s}") for s in range(salts)]).filter("lo < hi")
+    both = draw.join(low, "key").filter("c <> lo")
+    pair = lambda s: F.struct(F.greatest(f"d{s}", f"e{s}").alias("a"), F.least(f"d{s}", f"e{s}").alias("b"))
+    return both.select(F.explode(F.array(*[pair(s) for s in range(salts)])).alias("x")).select("x.*").distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row a document (doc_id, text): doc_id, n_shingles, component_id and kept (the component's smallest id).
 
@@ -212,24 +248,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, thre
     wanted = filters.build(rows, "id")
     texts = sc.save(filters.keep(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted).join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     tested = sc.save(confirm(tried, texts, shingle, threshold), "tested_0")
-    k = 0
-    while True:
-        comp = sc.save(components(tested.filter("linked").select("a", "b"), sc, f"round_{k}"), f"comp_{k}")
-        at = rows.join(comp, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
-        # a bucket of two has had its one pair tried
-        open_ = at.filter("m > 2").groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        members = at.join(open_, "key", "left_semi").join(nodes, "id").withColumn("n", blocks).withColumn("o", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        members = members.select("key", "id", "c", "sketch", F.least("o", "other").alias("p"), F.greatest("o", "other").alias("q"), F.when(F.col("o") == F.col("other"), 2).when(F.col("o") < F.col("other"), 0).otherwise(1).alias("side"))
-        more = _across(members, limit).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        k += 1
-        more = sc.save(more, f"try_{k}")
-        if more.isEmpty():
-            break
-        tested = sc.save(tested.unionByName(confirm(more, texts, shingle, threshold)), f"tested_{k}")
-    links = tested.filter("linked").select("a", "b").unionByName(same)
-    final = sc.save(components(links, sc, "final"), "final")
+    links = sc.save(tested.filter("linked").select("a", "b"), "links_0")
+    comp = sc.save(components(links, sc, "star"), "comp_0")
+    label = lambda c: rows.join(c, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
+    # a bucket of two has had its one pair tried
+    drawn = sc.save(plausible(_delegates(label(comp).filter("m > 2")).join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, limit), "try_1")
+    links = sc.save(links.unionByName(confirm(drawn, texts, shingle, threshold).filter("linked").select("a", "b")), "links_1")
+    comp = sc.save(components(links, sc, "drawn"), "comp_1")
+    at = sc.save(label(comp).filter("m > 2"), "labelled")
+    open_ = filters.build(at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key"), "key")
+    # sketch and text join once an id, which is in at most BANDS buckets
+    own = filters.keep(at, "key", open_).groupBy("id", "c").agg(F.collect_list(F.struct("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))).alias("in"))
+    members = own.join(nodes, "id").join(texts, "id").select("id", "c", "sketch", "text", F.explode("in").alias("x")).select("id", "c", "sketch", "text", "x.key", "x.n")
+    members = members.withColumn("o", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    side = F.when(F.col("o") == F.col("other"), 2).when(F.col("o") < F.col("other"), 0).otherwise(1)
+    band = F.pmod(F.col("key"), F.lit(64)).cast("int")
+    members = members.select("key", F.least("o", "other").alias("p"), F.greatest("o", "other").alias("q"), side.alias("side"), "id", "c", band.alias("band"), "sketch", "text")
+    links = sc.save(links.unionByName(_across(members, threshold, shingle)), "links_2")
+    final = sc.save(components(links.unionByName(same), sc, "final"), "final")
     out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(final, sk["doc_id"] == final["id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -337,7 +337,6 @@ def near_components(texts, n=4):
 
 def test_minhash(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "TRIES", 1)
     base, rng = prose(1, 200), np.random.default_rng(3)
     texts = [*ODD, base, base.upper(), near(base, [5], "x"), near(base, [5, 60, 120], "y"), near(base, range(0, 200, 9), "z"), "a b c", "A b\nc", "a b c d", "a b c d e", "a b c d e f"]
     texts += [near(base, rng.choice(200, rng.integers(1, 9), replace=False), f"v{i}_") for i in range(70)]  # chains of near copies
