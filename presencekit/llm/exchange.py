@@ -18,11 +18,11 @@ from .scratch import partitions
 
 SCHEMA = "part int, data binary"
 #: Records that a mapper gathers before it emits.
-FLUSH = 3_000_000
+FLUSH = 400_000
 
 
 def parts(df: DataFrame) -> int:
-    return 4 * partitions(df.sparkSession)
+    return 8 * partitions(df.sparkSession)
 
 
 def cut(part: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:

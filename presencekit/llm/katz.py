@@ -28,9 +28,9 @@ from .scratch import Scratch
 U = np.uint64
 START, END = U(1 << 62), U((1 << 62) + 1)
 #: Entries of the frequent tables of words and bigrams; largest discounted count.
-WORDS, BIGRAMS, K = 1 << 18, 1 << 20, 5
+WORDS, BIGRAMS, K = 1 << 17, 1 << 19, 5
 #: Records of the scoring shuffle that a mapper gathers before it emits.
-RECORDS = 1_000_000
+RECORDS = 150_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -212,8 +212,8 @@ class Model:
         lp = F.log10(share(d1, "c") / F.lit(float(whole)))
         rare = counts.filter(F.col("c") < low_word).select(F.shiftrightunsigned("w", 1).bitwiseOR(F.lit(-(2**63))).alias("code"), "c", lp.alias("lp"))
         self.words = sc.save(rare.join(hist.select(F.col("v").alias("code"), "la"), "code", "left").select("code", "c", "lp", F.coalesce("la", F.lit(0.0)).alias("la")), "words")
-        self.rare_words = filters.build(self.words, "code", 26)
-        self.rare_pairs = filters.build(self.rare_bigrams, "key", 26)
+        self.rare_words = filters.build(self.words, "code", 25)
+        self.rare_pairs = filters.build(self.rare_bigrams, "key", 25)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` (doc_id, held_out, text) as (doc_id, held_out, n_tokens, n_known, base_score, score)."""

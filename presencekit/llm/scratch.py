@@ -22,11 +22,17 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker. Both sides hold a few at a time, so this bounds their memory
+#: whatever the length of the texts.
+BATCH = 8 << 20
+
+
 class Scratch:
-    """Writes tables under the shared folder; ``drop`` deletes those no longer read."""
+    """Writes tables under the shared folder; ``drop`` deletes those no longer read. Sets the session's Arrow batch size."""
 
     def __init__(self, spark: SparkSession, tag: str) -> None:
         ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
         self.spark, self.base = spark, f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
