@@ -46,7 +46,7 @@ class Lines:
             words, rank = order
             at = textops.lookup(h, words)
             code = np.where(at >= 0, U(1 << 63) | rank[np.maximum(at, 0)] if len(rank) else h, h >> U(1))
-        k = np.lexsort((h, code, line))
+        k = np.lexsort((code, line))
         line_k, h_k = line[k], h[k]
         new = np.ones(len(k), bool)
         new[1:] = (line_k[1:] != line_k[:-1]) | (h_k[1:] != h_k[:-1])
