@@ -207,11 +207,14 @@ class Model:
                 yield pa.RecordBatch.from_arrays([pa.array(textops.signed(pair_key(v, w))), pa.array(c), pa.array(d)], names=["key", "c", "d"])
 
         self.bigrams = sc.save(lead.mapInArrow(keyed, "key long, c long, d double"), "bigrams")
+        sc.drop("kept")
         self.pair_keys, _, self.pair_d, low_pair = vocabulary.frequent(self.bigrams, "key", BIGRAMS, more="d")
         self.rare_bigrams = self.bigrams.filter(F.col("c") < low_pair)
         lp = F.log10(share(d1, "c") / F.lit(float(whole)))
         rare = counts.filter(F.col("c") < low_word).select(F.shiftrightunsigned("w", 1).bitwiseOR(F.lit(-(2**63))).alias("code"), "c", lp.alias("lp"))
         self.words = sc.save(rare.join(hist.select(F.col("v").alias("code"), "la"), "code", "left").select("code", "c", "lp", F.coalesce("la", F.lit(0.0)).alias("la")), "words")
+        sc.drop("histories")
+        sc.drop("counts")
         self.rare_words = filters.build(self.words, "code", 25)
         self.rare_pairs = filters.build(self.rare_bigrams, "key", 25)
 

@@ -46,7 +46,7 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf: str) -> DataFrame:
-    return katz.katz_scores(spark, _table(spark, sf, "documents"))
+    return katz.katz_scores(spark, _table(spark, sf, "documents"), min_count=1)
 
 
 def op10_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -452,6 +452,14 @@ def test_katz(spark, monkeypatch, frequent):
         assert math.isclose(r["base_score"], w[4], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r["score"], w[5], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_katz_query_keeps_single_bigrams(spark, tmp_path):
+    texts = [prose(i, 30 + i, 60 + 8 * (i % 9)) for i in range(80)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = by_id(queries.op9_katz(spark, str(tmp_path))), katz_brute(texts, range(len(texts)), 1)
+    assert katz_brute(texts, range(len(texts)), 2) != want
+    assert all(math.isclose(got[i]["score"], w[5], rel_tol=1e-9, abs_tol=1e-9) for i, w in want.items())
+
+
 def test_katz_beats_base_where_words_follow_words(spark):
     rng, texts = np.random.default_rng(0), []
     for _ in range(120):
