@@ -2,9 +2,11 @@
 
 Sentences end at . ! ? before white space and at line ends. From each sentence the span of the fewest following
 sentences with at least ``min_words`` words is hashed, and to each sentence that of the fewest preceding ones, so that a
-repeated passage is covered to both its ends; one sentence is a span only where it alone is that long. Spans are
-joined globally by hash: the smallest doc_id that holds a span keeps it, and so does its first place in a
-document. Sentences that any other occurrence covers are removed.
+repeated passage is covered to both its ends; one sentence is a span only where it alone is that long. A passage may
+start or end inside long sentences: the least of every 22 grams of 30 words is a span too, so that two texts with any 51 equal
+words in a row share one, wherever sentences end. Runs of two sentences are spans that count only where longer ones
+overlap them. Spans are joined globally by hash: the smallest doc_id that holds a span keeps it, and so does its first place
+in a document. Sentences that other occurrences cover whole are removed; a sentence that a passage cuts stays.
 
 The global table has one (hash, doc_id) row a document and span and is reduced to hashes with more than one
 document by min and max with map-side combining, so a passage that a third of all documents share costs one row a
@@ -28,6 +30,30 @@ _R = 0xD1342543DE82EF95
 _RINV = pow(_R, -1, 1 << 64)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
+#: Words of a gram and grams of a window: a run of GRAM + WINDOW - 1 = 51 equal words holds a whole window, whose least gram is hashed.
+GRAM, WINDOW = 30, 22
+#: Sentences and fewest words of the short runs, which only widen what a span of ``min_words`` words has found.
+RUN, RUN_WORDS = 2, 8
+
+
+def _slide(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (minimum or maximum) over every ``size`` consecutive values."""
+    n, have = len(x) - size + 1, 1
+    while 2 * have <= size:
+        x = of(x[:-have], x[have:])
+        have *= 2
+    return of(x[:n], x[size - have : size - have + n])
+
+
+def grams(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The places of the least gram of every window within one text; ``g``: hash of the gram from each word on, ``doc``: text of
+    each word."""
+    if len(g) < WINDOW:
+        return np.zeros(0, np.int64)
+    least = _slide(g, WINDOW, np.minimum)
+    least[doc[: len(least)] != doc[GRAM + WINDOW - 2 :]] = 0
+    pad = np.zeros(WINDOW - 1, np.uint64)
+    return np.flatnonzero((_slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == g) & (g > 0))
 
 
 class Sentences:
@@ -38,8 +64,8 @@ class Sentences:
         h, self.docs = textops.hashes(buf, s, e), len(off) - 1
         n = len(h)
         self.first = np.zeros(self.docs + 1, np.int64)
-        self.h, self.doc, self.a, self.b = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-        self.at = np.zeros(0, np.int64)
+        self.h, self.doc, self.x, self.y = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        self.at, self.words, self.min_words = np.zeros(0, np.int64), np.zeros(1, np.int64), min_words
         if not n:
             return
         lines = np.concatenate([[0], np.cumsum(buf == 10)])
@@ -47,7 +73,7 @@ class Sentences:
         brk[:-1] = _STOP[buf[e[:-1] - 1]] | (lines[s[1:]] > lines[e[:-1]])
         brk[w[1:][np.diff(w) > 0] - 1] = True
         ends = np.flatnonzero(brk) + 1
-        words = np.concatenate([[0], ends])  # sentence k: words words[k] to words[k + 1]
+        self.words = words = np.concatenate([[0], ends])  # sentence k: words words[k] to words[k + 1]
         self.at = s[words[:-1]]
         self.first = np.searchsorted(words[:-1], w).astype(np.int64)
         k = np.arange(len(ends))
@@ -56,9 +82,9 @@ class Sentences:
         fwd = np.searchsorted(words, words[:-1] + min_words)  # end sentence, exclusive
         bwd = np.searchsorted(words, words[1:] - min_words, side="right") - 1
         f, b = fwd <= hi, (bwd >= lo) & (words[1:] - min_words >= 0)
-        a, z = np.concatenate([k[f], bwd[b]]), np.concatenate([fwd[f], k[b] + 1])
-        pair = np.unique(a * (len(ends) + 1) + z)
-        self.a, self.b = pair // (len(ends) + 1), pair % (len(ends) + 1)
+        run = k[k + RUN <= hi]
+        run = run[words[run + RUN] - words[run] >= RUN_WORDS]
+        a, z = np.concatenate([k[f], bwd[b], run]), np.concatenate([fwd[f], k[b] + 1, run + RUN])
         p = np.full(n + 1, _R, np.uint64)
         p[0] = 1
         p = np.cumprod(p, dtype=np.uint64)
@@ -66,13 +92,36 @@ class Sentences:
         inv[0] = 1
         inv = np.cumprod(inv, dtype=np.uint64)
         c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[:-1])])
-        x, y = words[self.a], words[self.b]
-        self.h = textops.mix((c[y] - c[x]) * inv[x] + (y - x).astype(np.uint64))
-        self.doc = doc[self.a]
+        hashed = lambda x, y: textops.mix((c[y] - c[x]) * inv[x] + (y - x).astype(np.uint64))
+        x, of = np.arange(max(0, n - GRAM + 1)), textops.owners(w)
+        x = grams(hashed(x, x + GRAM), of)
+        pair = np.unique(np.concatenate([words[a], x]) * (n + 1) + np.concatenate([words[z], x + GRAM]))
+        self.x, self.y = pair // (n + 1), pair % (n + 1)
+        self.h, self.doc = hashed(self.x, self.y), of[self.x]
+
+    def covered(self, hit: np.ndarray) -> np.ndarray:
+        """Whether the spans ``hit`` cover each sentence whole. Those under ``min_words`` words count where longer ones overlap them or a
+        chain of them."""
+        n = self.words[-1]
+
+        def cover(hit: np.ndarray, less: int) -> np.ndarray:
+            """Sums up to each word of the words (``less`` 0) or of the joints after words (``less`` 1) inside spans."""
+            mark = np.zeros(n + 1, np.int64)
+            np.add.at(mark, self.x[hit], 1)
+            np.add.at(mark, self.y[hit] - less, -1)
+            return np.concatenate([[0], np.cumsum(np.cumsum(mark)[:-1] > 0)])
+
+        joined = np.diff(cover(hit, 1)) > 0
+        part = np.cumsum(np.concatenate([[True], ~joined[:-1]])) if n else np.zeros(0, np.int64)  # words joined by spans
+        long = hit & (self.y - self.x >= self.min_words)
+        hit = hit & np.isin(part[self.x], part[self.x[long]])
+        a, z = self.words[:-1], self.words[1:]
+        whole, joints = cover(hit, 0), cover(hit, 1)
+        return (whole[z] - whole[a] == z - a) & (joints[z - 1] - joints[a] == z - 1 - a)
 
     def leads(self) -> np.ndarray:
         """Whether each span is the first of its hash in its text."""
-        order = np.lexsort((self.a, self.h, self.doc))
+        order = np.lexsort((self.x, self.h, self.doc))
         h, d = self.h[order], self.doc[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
@@ -117,10 +166,7 @@ def _clean(rows: DataFrame, min_words: int) -> DataFrame:
                         own = slice(cut[r], cut[r + 1])
                         if lost_col[i + r]:
                             hit[own] |= np.isin(textops.signed(x.h[own]), np.array(lost_col[i + r], np.int64))
-                mark = np.zeros(len(x.at) + 1, np.int64)
-                np.add.at(mark, x.a[hit], 1)
-                np.add.at(mark, x.b[hit], -1)
-                gone = np.cumsum(mark)[:-1] > 0
+                gone = x.covered(hit)
                 raw, texts, removed = buf.tobytes(), [], []
                 for r in range(x.docs):
                     f, z = x.first[r], x.first[r + 1]

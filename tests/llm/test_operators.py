@@ -152,6 +152,27 @@ def test_substrings(spark):
     assert all(r["text"] == short for r in substrings.dedup_substrings(spark, docs(spark, [short] * 3)).collect())
 
 
+def test_substrings_of_passages_cut_inside_sentences(spark):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    short = [plain(20 + i, 7) + "." for i in range(3)]  # 21 words in whole sentences, 61 with the parts of their neighbours
+    left, right = plain(30, 20), plain(31, 20)
+    text = lambda i: f"{plain(40 + i, 25)} {left}. " + " ".join(short) + f" {right} {plain(50 + i, 25)}."
+    line = lambda i: f"{plain(60 + i, 40)}. {short[0]} {short[1]} {plain(70 + i, 40)}."  # noqa: E731  14 shared words alone
+    got = by_id(substrings.dedup_substrings(spark, docs(spark, [text(0), text(1), line(0)])))
+    assert got[0]["text"] == text(0) and got[1]["removed"] == [1, 2, 3] and left in got[1]["text"] and right in got[1]["text"]
+    assert got[2]["text"] == line(0)
+
+
+def test_equal_runs_share_a_gram():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        both, n = rng.integers(1, 1 << 60, 51), rng.integers(0, 60, 4)
+        texts = [np.concatenate([rng.integers(1, 1 << 60, n[2 * i]), both, rng.integers(1, 1 << 60, n[2 * i + 1])]) for i in range(2)]
+        raw = [" ".join(map(str, t)).encode() for t in texts]
+        x = substrings.Sentences(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 10**6)
+        assert set(x.h[x.doc == 0]) & set(x.h[x.doc == 1])
+
+
 def test_substrings_edges(spark):
     assert substrings.dedup_substrings(spark, docs(spark, [])).count() == 0
     odd = docs(spark, ODD).withColumn("lost", F.lit(1)).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id")))
