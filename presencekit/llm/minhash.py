@@ -4,7 +4,8 @@ One hash a shingle: its top bits choose a bucket and the least rest in a bucket
 count of leading zeros (6 bits) and the next 10 bits (mantissa). Empty buckets borrow from a bucket that a hash sequence of
 the bucket's number finds, so that short texts band as reliably as long ones. 51 bands of 5 registers make
 candidates: at a similarity of 0.8 all bands miss with a chance of 2e-9. Candidates pass a Jaccard estimate corrected for
-chance collisions of registers, 5 deviations below the threshold, and are confirmed on the full shingle sets.
+chance collisions of registers, 5 deviations below the threshold, unless one of the sets is small, and are confirmed on the
+full shingle sets.
 
 Equal sets are one node from the start. In a band's bucket only links to its smallest id are tried at first, then links
 between one drawn member of each component and of the smallest. Buckets that still hold several components are compared in
@@ -30,6 +31,8 @@ U = np.uint64
 BUCKETS, ROWS, MANTISSA = 256, 5, 10
 BANDS = BUCKETS // ROWS
 EMPTY = 0xFFFF
+#: Pairs whose smaller set has fewer shingles are judged without the estimate: registers borrowed from few buckets are not independent.
+FEW = 64
 #: Members of a bucket that one comparison block holds.
 BLOCK = 1024
 
@@ -109,19 +112,22 @@ def _floor(threshold: float) -> float:
     return threshold - 5 * (threshold * (1 - threshold) / BUCKETS) ** 0.5
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (a, b) whose estimate may reach the threshold."""
-    least = _floor(threshold)
+def plausible(pairs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``pairs`` (a, b) whose estimate, or for small sets whose sizes, may reach the threshold."""
+    num, den = threshold
+    least = _floor(num / den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 4000):
                 part = b.slice(i, 4000)
-                ok = estimate((_stack(part.column("sa")) == _stack(part.column("sb"))).sum(1)) >= least
+                na, nb = (part.column(c).to_numpy() for c in ("na", "nb"))
+                low, high = np.minimum(na, nb), np.maximum(na, nb)
+                ok = np.where(low < FEW, den * low >= num * high, estimate((_stack(part.column("sa")) == _stack(part.column("sb"))).sum(1)) >= least)
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
@@ -155,15 +161,15 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _across(members: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
-    """Links (a, b) between ``members`` (key, p, q, side, id, c, band, sketch, text) of one key and different c: one for each two
+    """Links (a, b) between ``members`` (key, p, q, side, id, c, band, sketch, text, n) of one key and different c: one for each two
     components of a block that have any.
 
-    Every pair is judged in the first band it shares, by its estimate and then on the full sets, best estimates first."""
+    Every pair is judged in the first band it shares, by its estimate (small sets: by theirs) and then on the full sets, best estimates first."""
     num, den = threshold
     least = _floor(num / den)
 
     def pairs(t: pa.Table) -> pa.RecordBatch | None:
-        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "c", "side"))
+        ids, comp, side, n = (t.column(c).to_numpy() for c in ("id", "c", "side", "n"))
         band, sk = int(t.column("band")[0].as_py()), _stack(t.column("sketch"))
         right, sets, done, out = np.flatnonzero(side != 0), {}, set(), []
 
@@ -173,10 +179,29 @@ def _across(members: DataFrame, threshold: tuple[int, int], shingle: int) -> Dat
                 sets[i] = textops.shingle_sets(*textops.words(buf, off), shingle)[0]
             return sets[i]
 
+        # shingles of all members that can be linked with a small set, numbered
+        few = np.flatnonzero(den * (FEW - 1) >= num * n)
+        g, cut = textops.shingle_sets(*textops.words(*textops.buffers(t.column("text").take(few))), shingle) if len(few) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        u, g = np.unique(g, return_inverse=True)
+        at, size = np.full(len(n), -1), np.diff(cut)
+        at[few] = np.arange(len(few))
+
+        def exact(i: int) -> np.ndarray:
+            """Whether each member is linked with the small set ``i``; false for members not in ``few``."""
+            own, out = np.zeros(len(u), bool), np.zeros(len(n), bool)
+            own[g[cut[at[i]] : cut[at[i] + 1]]] = True
+            both = np.diff(np.concatenate([[0], np.cumsum(own[g])])[cut])
+            out[few] = den * both >= num * (size + size[at[i]] - both)
+            return out
+
         for i in np.flatnonzero(side != 1):
             far = right[(comp[right] != comp[i]) & ((side[right] == 1) | (ids[right] > ids[i]))]
             est = estimate((sk[far] == sk[i]).sum(1))
-            far, est = far[est >= least], est[est >= least]
+            ok = est >= least
+            if at[i] >= 0:
+                low = np.minimum(n[i], n[far]) < FEW
+                ok = np.where(low, exact(i)[far], ok) if low.any() else ok
+            far, est = far[ok], est[ok]
             if len(far):
                 mine = _first_shared(sk[i], sk[far]) == band
                 far, est = far[mine], est[mine]
@@ -232,18 +257,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, thre
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows of one id are one document.
     A null id is linked with nothing, has no component and is kept. An empty table gives an empty one."""
-    num, den = threshold
-    limit = num / den
     sc = Scratch(spark, "minhash")
     sk = sc.save(sketches(docs, shingle), "sketches")
     full = sk.filter("n > 0 and doc_id is not null")
     reps = sc.save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    nodes = full.join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    nodes = full.join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
     nodes = sc.save(nodes, "nodes")
     keys = band_keys(nodes)
     groups = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "lo", "m")
     rows = sc.save(keys.join(groups, "key"), "buckets")
-    tried = sc.save(plausible(rows.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), nodes, limit), "try_0")
+    tried = sc.save(plausible(rows.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), nodes, threshold), "try_0")
     same = full.join(reps, ["f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     wanted = filters.build(rows, "id")
     texts = sc.save(filters.keep(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted).join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -252,18 +275,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, thre
     comp = sc.save(components(links, sc, "star"), "comp_0")
     label = lambda c: rows.join(c, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
     # a bucket of two has had its one pair tried
-    drawn = sc.save(plausible(_delegates(label(comp).filter("m > 2")).join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, limit), "try_1")
+    drawn = sc.save(plausible(_delegates(label(comp).filter("m > 2")).join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, threshold), "try_1")
     links = sc.save(links.unionByName(confirm(drawn, texts, shingle, threshold).filter("linked").select("a", "b")), "links_1")
     comp = sc.save(components(links, sc, "drawn"), "comp_1")
     at = sc.save(label(comp).filter("m > 2"), "labelled")
     open_ = filters.build(at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key"), "key")
     # sketch and text join once an id, which is in at most BANDS buckets
     own = filters.keep(at, "key", open_).groupBy("id", "c").agg(F.collect_list(F.struct("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))).alias("in"))
-    members = own.join(nodes, "id").join(texts, "id").select("id", "c", "sketch", "text", F.explode("in").alias("x")).select("id", "c", "sketch", "text", "x.key", "x.n")
+    members = own.join(nodes, "id").join(texts, "id").select("id", "c", "sketch", "text", F.col("n").alias("size"), F.explode("in").alias("x")).select("id", "c", "sketch", "text", "size", "x.key", "x.n")
     members = members.withColumn("o", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     side = F.when(F.col("o") == F.col("other"), 2).when(F.col("o") < F.col("other"), 0).otherwise(1)
     band = F.pmod(F.col("key"), F.lit(64)).cast("int")
-    members = members.select("key", F.least("o", "other").alias("p"), F.greatest("o", "other").alias("q"), side.alias("side"), "id", "c", band.alias("band"), "sketch", "text")
+    members = members.select("key", F.least("o", "other").alias("p"), F.greatest("o", "other").alias("q"), side.alias("side"), "id", "c", band.alias("band"), "sketch", "text", F.col("size").alias("n"))
     links = sc.save(links.unionByName(_across(members, threshold, shingle)), "links_2")
     final = sc.save(components(links.unionByName(same), sc, "final"), "final")
     out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(final, sk["doc_id"] == final["id"], "left")

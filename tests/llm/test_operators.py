@@ -380,6 +380,31 @@ def test_minhash_edges(spark):
     assert minhash.drop_near_duplicates(spark, odd).count() == len(ODD)
 
 
+def lost_by_estimate():
+    """Texts of 8 and 7 words, 5 and 4 shingles, whose registers agree in a band but for less than the estimate asks."""
+    for r in range(0, 40_000, 2000):
+        texts = [" ".join(f"r{r + i}w{k}" for k in range(n)) for i in range(2000) for n in (8, 7)]
+        raw = [t.encode() for t in texts]
+        buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        regs = minhash.registers(*textops.shingle_sets(*textops.words(buf, off), 4))
+        same = regs[::2] == regs[1::2]
+        band = same[:, : minhash.BANDS * minhash.ROWS].reshape(-1, minhash.BANDS, minhash.ROWS).all(2)
+        low = np.flatnonzero((minhash.estimate(same.sum(1)) < minhash._floor(0.8)) & band.any(1))
+        if len(low):
+            k = low[0]
+            return texts[2 * k : 2 * k + 2], regs[2 * k : 2 * k + 2], int(band[k].argmax())
+
+
+def test_minhash_links_small_sets_whatever_their_estimate(spark):
+    texts, regs, band = lost_by_estimate()
+    assert near_components(texts)[1] == [0, 0]
+    got = by_id(minhash.near_duplicates(spark, docs(spark, texts)))
+    assert [got[i]["component_id"] for i in (0, 1)] == [0, 0]
+    rows = [(1, 0, 0, 2, i, i, band, r.tobytes(), t, n) for i, (t, r, n) in enumerate(zip(texts, regs, (5, 4)))]
+    members = spark.createDataFrame(rows, "key long, p int, q int, side int, id long, c long, band int, sketch binary, text string, n long")
+    assert [tuple(r) for r in minhash._across(members, (80, 100), 4).collect()] == [(0, 1)]
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(0)
     pool = textops.mix(np.arange(20_000, dtype=np.uint64))
