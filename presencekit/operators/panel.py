@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidArgument
+from ..errors import InvalidArgument, IoError
 from ..functions.bits import bit_of, carriers, stripe_of, words_per_row
 from ..functions.kmers import unsigned_order
+from ..scratch import Scratch
 from .numbering import number_rows
 
 
@@ -52,36 +53,54 @@ def check_zip(striped: DataFrame, n: int) -> DataFrame:
 
 @dataclass
 class Panel:
+    """Patterns and map, k, accessions, and where known the counts written with them. ``scratch`` holds tables that an
+    unsaved panel reads."""
+
     patterns: DataFrame
     kmers: DataFrame
     k: int
     n: int
+    n_kmers: int | None = None
+    n_patterns: int | None = None
+    scratch: Scratch | None = None
 
     def save(self, path: str) -> Panel:
+        """Writes both tables and then, last, the header with their counts: a write that breaks off leaves none."""
+        spark = self.patterns.sparkSession
+        blank = spark.createDataFrame([], "value string").coalesce(1)
+        blank.write.mode("overwrite").text(f"{path}/meta")
         self.patterns.write.mode("overwrite").parquet(f"{path}/patterns")
         self.kmers.repartitionByRange("kmer_code").sortWithinPartitions("kmer_code").write.mode("overwrite").parquet(f"{path}/kmers")
-        spark = self.patterns.sparkSession
-        meta = json.dumps({"k": self.k, "n": self.n})
-        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        head = {"k": self.k, "n": self.n, "n_kmers": spark.read.parquet(f"{path}/kmers").count(), "n_patterns": spark.read.parquet(f"{path}/patterns").count()}
+        spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        if self.scratch is not None:
+            self.scratch.drop()
         return load_panel(spark, path)
 
 
 def load_panel(spark: SparkSession, path: str) -> Panel:
-    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-    return Panel(spark.read.parquet(f"{path}/patterns"), spark.read.parquet(f"{path}/kmers"), meta["k"], meta["n"])
+    head = spark.read.text(f"{path}/meta").first()
+    if head is None:
+        raise IoError(f"{path}: the panel has no header; its writing broke off")
+    meta = json.loads(head["value"])
+    return Panel(spark.read.parquet(f"{path}/patterns"), spark.read.parquet(f"{path}/kmers"), meta["k"], meta["n"], meta.get("n_kmers"), meta.get("n_patterns"))
 
 
 def compress(rows: DataFrame, k: int, n: int) -> Panel:
     """Panel of dense rows (kmer_code, words). Pattern ids are dense and follow each pattern's smallest code, as unsigned.
 
-    Patterns are keyed by a 64-bit hash beside the words, so that joining the map back compares short keys first."""
-    keyed = rows.withColumn("_h", F.xxhash64("words"))
+    Dense rows and numbered patterns are written once, and both tables come from what was written. Patterns are keyed by
+    a 64-bit hash beside the words, so that joining the map back compares short keys first; both sides of that join
+    are read from files, so that AQE can split a pattern that very many codes share."""
+    scratch = Scratch(rows.sparkSession, "panel")
+    keyed = scratch.save(rows.withColumn("_h", F.xxhash64("words")), "dense")
     order = unsigned_order(F.col("kmer_code"))
     found = keyed.groupBy("_h", "words").agg(F.min(order).alias("_rep"), F.count("*").alias("n_kmers"))
-    ids = number_rows(found, F.col("_rep"), "pattern_id")
+    ids = scratch.save(number_rows(found, F.col("_rep"), "pattern_id", scratch), "numbered")
+    scratch.tidy("placed_pattern_id")
     patterns = ids.select("pattern_id", "words", unsigned_order(F.col("_rep")).alias("rep"), "n_kmers", carriers(F.col("words")).alias("n_carriers"))
     kmers = keyed.join(ids.select("_h", "words", "pattern_id"), ["_h", "words"]).select("kmer_code", "pattern_id")
-    return Panel(patterns, kmers, k, n)
+    return Panel(patterns, kmers, k, n, scratch=scratch)
 
 
 def build_panel(present: DataFrame, k: int, n: int, acc: str = "acc_idx") -> Panel:

@@ -10,9 +10,11 @@ from .panel import Panel
 
 
 def validate(panel: Panel, n_listed: int | None, n_kmers: int | None = None, n_patterns: int | None = None) -> DataFrame:
-    """Checks a panel against its list of ``n_listed`` accessions and, where known, the row counts written with it. All issues
-    are told; the summary is that of the last."""
+    """Checks a panel against its list of ``n_listed`` accessions and the row counts written with it (``n_kmers`` and
+    ``n_patterns``, else those of its header, where it has one). All issues are told; the summary is that of the last."""
     s = words_per_row(panel.n)
+    n_kmers = panel.n_kmers if n_kmers is None else n_kmers
+    n_patterns = panel.n_patterns if n_patterns is None else n_patterns
     p = panel.patterns.agg(F.count("*").alias("np"), F.coalesce(F.sum((F.size("words") != s).cast("long")), F.lit(0)).alias("wide"))
     k = panel.kmers.agg(F.count("*").alias("nk"))
     twice = panel.kmers.groupBy("kmer_code").count().filter("count > 1").agg(F.count("*").alias("dup"))

@@ -161,3 +161,29 @@ def test_medium_shape(spark):
     x = df.select("accession", F.sin("acc_idx").alias("PC1"), F.cos("acc_idx").alias("PC2"))
     top = gwas.gwas(p, y, x, df.select("acc_idx", "accession"), 2, 1, True).collect()
     assert {r.pa_bits for r in top} == {"1" * 36 + "0" * 36} and len(top) == 3
+
+
+def test_many_patterns_number_alike(spark, tmp_path):
+    """Over 20,000 patterns, so that range partitions are drawn from samples: two builds agree under any number of
+    partitions, and what is saved fits together."""
+    rows = spark.range(24_000).select(F.col("id").alias("kmer_code"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("acc_idx"))
+    rows = rows.filter((F.shiftright(F.col("kmer_code") + 1, 0).bitwiseAND(F.pow(2, "acc_idx").cast("long"))) != 0)
+    want = [(i, i) for i in range(24_000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 31):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            p = panel.build_panel(rows, 16, 16)
+            for _ in range(2):
+                assert sorted(map(tuple, p.patterns.select("pattern_id", "rep").collect())) == want
+            assert p.patterns.join(p.kmers, "pattern_id").filter("rep = kmer_code").count() == 24_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    at = str(tmp_path / "many")
+    saved = p.save(at)
+    assert (saved.n_kmers, saved.n_patterns) == (24_000, 24_000)
+    assert validate.validate(saved, 16).first().ok
+    assert saved.patterns.join(saved.kmers, "pattern_id").filter("rep = kmer_code").count() == 24_000
+    saved.kmers.limit(23_000).write.parquet(f"{at}/short")
+    torn = panel.Panel(saved.patterns, spark.read.parquet(f"{at}/short"), 16, 16, saved.n_kmers, saved.n_patterns)
+    assert "header" in " ".join(validate.validate(torn, 16).first().issues)
