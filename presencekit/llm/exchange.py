@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import partitions
+from ..scratch import partitions
 
 SCHEMA = "part int, data binary"
-#: Records that a mapper gathers before it emits.
-FLUSH = 400_000
+#: Records that a mapper gathers before it emits, and that one piece of a part holds.
+FLUSH, LIMIT = 150_000, 300_000
 
 
 def parts(df: DataFrame) -> int:
@@ -53,26 +53,41 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), "part").sortWithinPartitions("part")
 
 
-def gather(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(part, columns) of every part; ``kinds``: their numpy types."""
+def columns(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
+    """The columns of some blobs, one after the other."""
+    got = [[] for _ in kinds]
+    for x in blobs:
+        n, at = int(np.frombuffer(x[:8], np.int64)[0]), 8
+        for g, k in zip(got, kinds):
+            g.append(np.frombuffer(x, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(g) for g in got]
+
+
+def gather(batches: Iterator[pa.RecordBatch], kinds: list, key: int | None = None, n_parts: int = 1, limit: int = LIMIT) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(part, columns) of every part; ``kinds``: their numpy types. With ``key``, the number of a uint64 column that the part is
+    the remainder of by ``n_parts``: a part of more than ``limit`` records comes in several pieces, each with all records of its
+    keys, so that what a caller does with a piece takes bounded memory but for records of one key."""
     last, held = None, []
 
-    def columns() -> list[np.ndarray]:
-        got = [[] for _ in kinds]
-        for x in held:
-            n, at = int(np.frombuffer(x[:8], np.int64)[0]), 8
-            for g, k in zip(got, kinds):
-                size = n * np.dtype(k).itemsize
-                g.append(np.frombuffer(x, k, n, at))
-                at += size
-        return [np.concatenate(g) for g in got]
+    def pieces() -> Iterator[tuple[int, list[np.ndarray]]]:
+        n = sum(int(np.frombuffer(x[:8], np.int64)[0]) for x in held)
+        cols = columns(held, kinds)
+        held.clear()
+        if key is None or n <= limit:
+            yield last, cols
+            return
+        s = -(-n // limit)
+        sub = (cols[key] // np.uint64(n_parts)) % np.uint64(s)
+        for k in range(s):
+            own = np.flatnonzero(sub == k)
+            yield last, [c[own] for c in cols]
 
     for b in batches:
         for p, x in zip(b.column("part").to_pylist(), b.column("data")):
             if p != last and held:
-                yield last, columns()
-                held = []
+                yield from pieces()
             last = p
             held.append(x.as_py())
     if held:
-        yield last, columns()
+        yield from pieces()

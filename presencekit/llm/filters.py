@@ -1,4 +1,8 @@
-"""Bloom filters of a fixed size: they thin what is shuffled, never what is found."""
+"""Bloom filters of a bounded size: they thin what is shuffled, never what is found.
+
+A filter is sized to its keys, which are counted first, and let through about one stranger in a hundred. Beyond the bound
+there is no use in one: a filter that lets everything through stands in, and all rows take the shuffle.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +13,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import partitions
 from . import textops
 
-#: 2 MB, whatever the input; a filter that fills up lets more through and stays right.
-BITS, HASHES = 24, 3
+#: Largest filter, 2**26 bits or 8 MB, for up to 2**23 keys; bits a key, hashes.
+BITS, PER_KEY, HASHES = 26, 8, 4
+#: Lets everything through.
+OPEN = np.full(1, 255, np.uint8)
 
 
 def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = textops.mix(textops.unsigned(keys.astype(np.int64)))
-    return [((h >> np.uint64((64 - bits) * i // max(1, HASHES - 1))) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
+    low, step = h & np.uint64((1 << 32) - 1), (h >> np.uint64(32)) | np.uint64(1)
+    return [((low + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def build(df: DataFrame, column: str, size: int = BITS) -> np.ndarray:
-    """Filter of 2**size bits with all values of a BIGINT column."""
+def build(df: DataFrame, column: str, most: int = BITS) -> np.ndarray:
+    """Filter of at most 2**``most`` bits with all values of a BIGINT column."""
+    keys = df.select(column).filter(f"{column} is not null")
+    n = keys.count()
+    if n * PER_KEY > 1 << most:
+        return OPEN
+    size = max(10, (n * PER_KEY * 3 // 2).bit_length())
+    size = min(size, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << size, bool)
@@ -31,7 +45,8 @@ def build(df: DataFrame, column: str, size: int = BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
 
     out = np.zeros((1 << size) // 8, np.uint8)
-    for r in df.select(column).filter(f"{column} is not null").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():  # at most 8 rows, one at a time
+    tasks = min(8, partitions(df.sparkSession))  # a bounded number of keys, and one row a task
+    for r in keys.repartition(tasks).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 

@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..scratch import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b), component the smallest id reachable.
 
-    Each round keeps at most one edge for each node and neighbour; minima are combined on the map side and joined back,
-    so a node that a third of all nodes link to is never gathered. Ends when a round changes nothing."""
+    Each round keeps at most one edge for each node and neighbour. Minima are combined on the map side and written, so
+    that the joins back, in which one node may have a third of all rows, read files on both sides and AQE can split them.
+    Ends when a round changes nothing."""
     pick = lambda u, v: (F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     e = scratch.save(edges.filter("a <> b").select(*pick(F.col("a"), F.col("b"))).distinct(), f"{name}_0")
     sign = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
     was, k = sign(e), 0
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}_m{k}")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = scratch.save(large, f"{name}_l{k}")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_n{k}")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         k += 1
         e = scratch.save(small.distinct(), f"{name}_{k}")
-        scratch.drop(f"{name}_{k - 1}", f"{name}_l{k - 1}")
+        scratch.drop(*[f"{name}_{x}{k - 1}" for x in ("", "l", "m", "n")])
         now = sign(e)
         if now == was:
             break

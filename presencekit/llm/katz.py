@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange, filters, textops, vocabulary
-from .scratch import Scratch
+from ..scratch import Scratch
 
 U = np.uint64
 START, END = U(1 << 62), U((1 << 62) + 1)
@@ -215,8 +215,8 @@ class Model:
         self.words = sc.save(rare.join(hist.select(F.col("v").alias("code"), "la"), "code", "left").select("code", "c", "lp", F.coalesce("la", F.lit(0.0)).alias("la")), "words")
         sc.drop("histories")
         sc.drop("counts")
-        self.rare_words = filters.build(self.words, "code", 25)
-        self.rare_pairs = filters.build(self.rare_bigrams, "key", 25)
+        self.rare_words = filters.build(self.words, "code")
+        self.rare_pairs = filters.build(self.rare_bigrams, "key")
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` (doc_id, held_out, text) as (doc_id, held_out, n_tokens, n_known, base_score, score)."""

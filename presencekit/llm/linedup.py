@@ -1,16 +1,17 @@
 """Operator 3: line deduplication by an exact set-similarity join.
 
-A line is the set of its lower-cased words. Lines with equal sets are one class; a class meets another by a
-prefix join: words are ordered by rarity (words outside the bounded frequent table first, then by ascending
-count), a line is indexed under its rarest n - ceil(t * n) + 1 words, and two lines under one word are a candidate
-if their lengths allow the threshold, the words that can follow their places allow it, and the parity signatures
-of their sets (each word flips one of 64 bits) do not differ in more bits than the sets may. All three are exact
-bounds. Candidates are verified on the words. A line goes if an earlier one, by doc_id and line, has
-Jaccard of at least the threshold with it, whether or not that one stays itself.
-
-A line needs one match, so each word's list gives a line its earliest few candidates only; lines that these do
-not decide are met with all others in a further round. Words whose count shows a list too long for one task are
-dealt out in pairs of blocks.
+A line is the set of its lower-cased words. Texts are parsed once into a table of lines; lines with equal sets are one
+class, and only a class's first line, by doc_id and line number, enters the join: words are ordered by rarity (words
+outside the bounded frequent table first, then by ascending count), a line is indexed under its rarest
+n - ceil(t * n) + 1 words, and two lines under one word are a candidate if their lengths allow the threshold, the words
+that can follow their places allow it, and the parity signatures of their sets (each word flips one of 64 bits) do not
+differ in more bits than the sets may. All three are exact bounds. Candidates are verified on the words. A line goes if
+an earlier one has Jaccard of at least the threshold with it, whether or not that one stays itself; so all but the first
+line of a class go, and the first goes if it is similar to the first of an earlier class.
+
+A line needs one match, so each word's list gives a line its earliest few candidates only. Lines that these do not decide
+are given the next ones, more each round, until every line is decided or has seen all its candidates. Lists too long
+for one task are dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -19,40 +20,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..scratch import Scratch
 from . import exchange, filters, textops, vocabulary
-from .scratch import Scratch
 
 U = np.uint64
-#: Entries of the frequent-word table, lines of one block of a long list, candidates a list gives a line at first.
-FREQUENT, BLOCK, FIRST = 1 << 17, 8192, 3
+#: Entries of the frequent-word table, lines of one block of a long list.
+FREQUENT, BLOCK = 1 << 17, 8192
+#: Candidates that a list has given a line after each round; in the last, all.
+ROUNDS = (2, 8, 64, None)
+RARE = U(1 << 63)
 
 
 class Lines:
-    """Word sets of the lines of a run of texts: for line k its text, number, set hash f, size n, parity and words."""
+    """Word sets of the lines of a run of texts: for line k its text, number, set hash f, size n, parity, and its words from
+    cut[k] to cut[k + 1], rarest first: ``h`` their hashes and ``rank`` their ranks in the frequent table, -1 for others."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, order: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    def __init__(self, buf: np.ndarray, off: np.ndarray, words: np.ndarray, rank: np.ndarray) -> None:
         s, e, w = textops.spans(buf, off)
         h = textops.hashes(buf, s, e)
         feed = np.flatnonzero(buf == 10)
         row = textops.owners(w)
         number = np.searchsorted(feed, s) - np.searchsorted(feed, off[:-1])[row]
-        line = np.cumsum(np.concatenate([[False], (row[1:] != row[:-1]) | (number[1:] != number[:-1])])) if len(h) else np.zeros(0, np.int64)
-        code = h
-        if order is not None:
-            words, rank = order
-            at = textops.lookup(h, words)
-            code = np.where(at >= 0, U(1 << 63) | rank[np.maximum(at, 0)] if len(rank) else h, h >> U(1))
-        k = np.lexsort((code, line))
-        line_k, h_k = line[k], h[k]
+        line = np.zeros(len(h), np.int64)
+        if len(h):
+            line[1:] = np.cumsum((row[1:] != row[:-1]) | (number[1:] != number[:-1]))
+        at = textops.lookup(h, words)
+        code = h >> U(1)
+        code[at >= 0] = RARE | rank[at[at >= 0]]
+        k = np.argsort(code)
+        k = k[np.argsort(line[k], kind="stable")]
+        line_k, code_k = line[k], code[k]
         new = np.ones(len(k), bool)
-        new[1:] = (line_k[1:] != line_k[:-1]) | (h_k[1:] != h_k[:-1])
+        new[1:] = (line_k[1:] != line_k[:-1]) | (code_k[1:] != code_k[:-1])
         k = k[new]
-        self.line, self.h, self.code = line[k], h[k], code[k]
-        first = np.flatnonzero(np.concatenate([[True], self.line[1:] != self.line[:-1]])) if len(k) else np.zeros(0, np.int64)
+        line, self.h = line[k], h[k]
+        self.rank = np.where(code[k] >= RARE, (code[k] ^ RARE).astype(np.int64), -1)
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(k) else np.zeros(0, np.int64)
         self.cut = np.append(first, len(k))
         self.n = np.diff(self.cut)
         self.row, self.number = row[k][first], number[k][first]
@@ -76,49 +82,106 @@ def _need(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * (na + nb)) // (num + den))
 
 
-def line_rows(docs: DataFrame, thin: np.ndarray | None = None) -> DataFrame:
-    """(f, doc_id, line), one row a set and document; ``thin``: only sets that may be in this filter."""
+def _cells(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary column of runs of ``values``, ``sizes[k]`` of them in cell k."""
+    off = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+TABLE = "th long, doc_id long, line int, lead boolean, f long, n int, parity long, rare binary, common binary"
+
+
+def parse(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], threshold: tuple[int, int]) -> DataFrame:
+    """A row a line with words: th (hash of the text), doc_id, line, lead (first of its set in its text), f, n, parity, and for
+    lines that can be similar to another set the hashes of words outside the frequent table and the ranks of the others."""
+    num, den = threshold
+    words, rank = order
+    names = [x.split()[0] for x in TABLE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            th, ids = b.column(0), b.column(1)
+            for i, _, buf, off in textops.chunks(b.column(2)):
+                x = Lines(buf, off, words, rank)
+                lead = x.leads()
+                kept = np.repeat(lead & (den * x.n >= num * (x.n + 1)), x.n)  # smaller sets reach the threshold with equal sets only
+                line, rare = np.repeat(np.arange(len(x.n)), x.n), x.rank < 0
+                of = lambda some: np.bincount(line[some], minlength=len(x.n))  # noqa: E731, B023
+                at = pa.array(i + x.row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        th.take(at), ids.take(at), pa.array(x.number.astype(np.int32)), pa.array(lead), pa.array(textops.signed(x.f)), pa.array(x.n.astype(np.int32)),
+                        pa.array(textops.signed(x.parity)), _cells(x.h[kept & rare], of(kept & rare)), _cells(x.rank[kept & ~rare].astype(np.uint32), of(kept & ~rare)),
+                    ],
+                    names=names,
+                )
+
+    return docs.select(text_key(), "doc_id", "text").mapInArrow(run, TABLE)
+
+
+def text_key() -> Column:
+    """With doc_id, what tells rows of a table apart: rows equal in both are treated alike."""
+    return F.xxhash64("text").alias("th")
+
+
+def _codes(b: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets) of the lines of a batch: hashes of rare words with the top bit set, then ranks of common ones, in order."""
+    (r, ro), (c, co) = textops.buffers(b.column("rare" + suffix)), textops.buffers(b.column("common" + suffix))
+    r, ro, c, co = r.view(np.uint64), ro // 8, c.view(np.uint32), co // 4
+    cut = ro + co
+    out = np.empty(cut[-1], np.uint64)
+    place = np.arange(cut[-1]) - np.repeat(cut[:-1], np.diff(cut))
+    rare = place < np.repeat(np.diff(ro), np.diff(cut))
+    out[rare], out[~rare] = r | RARE, c
+    return out, cut
+
+
+def _prefix(b: pa.RecordBatch, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, code, place) of every word that a line of the batch is indexed under."""
+    num, den = threshold
+    codes, cut = _codes(b)
+    n = np.diff(cut)
+    p = np.where(n > 0, n + (-num * n) // den + 1, 0)  # n - ceil(num * n / den) + 1
+    line = np.repeat(np.arange(len(n)), p)
+    place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+    return line, codes[cut[:-1][line] + place], place
+
+
+def long_lists(firsts: DataFrame, threshold: tuple[int, int]) -> np.ndarray:
+    """Blocks of the list of each frequent word, by rank. Lists of other words are shorter than those of all frequent ones may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(FREQUENT, np.int64)
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, j, buf, off in textops.chunks(b.column(1)):
-                x = Lines(buf, off)
-                ok = x.leads()
-                if thin is not None:
-                    ok &= filters.has(textops.signed(x.f), thin)
-                yield pa.RecordBatch.from_arrays([pa.array(textops.signed(x.f[ok])), pa.array(ids[i:j][x.row[ok]]), pa.array(x.number[ok].astype(np.int32))], names=["f", "doc_id", "line"])
+            _, code, _ = _prefix(b, threshold)
+            n += np.bincount(code[code < RARE].astype(np.int64), minlength=FREQUENT)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["rank", "n"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "f long, doc_id long, line int")
+    counts = firsts.select("rare", "common").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+    out = np.ones(FREQUENT, np.int64)
+    for r in counts.filter(F.col("n") > BLOCK).toLocalIterator():  # at most an entry of the frequent table each
+        out[r["rank"]] = -(-r["n"] // BLOCK)
+    return out
 
 
-KINDS = [np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32, np.int8]
+#: Index entries: list key, doc, line, parity, n, place, side.
+KINDS = [np.uint64, np.int64, np.int32, np.uint64, np.int32, np.int32, np.int8]
 
 
-def postings(docs: DataFrame, order: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: tuple[int, int]) -> DataFrame:
-    """Index entries (code, f, parity, doc, line, n, place, side) by part."""
-    num, den = threshold
-    words, rank, counts = order
-    n_parts = exchange.parts(docs)
-    of_rank = np.zeros(len(rank), np.int64)
-    of_rank[rank.astype(np.int64)] = counts
+def lists(firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(data): whole lists of index entries, in order of list, document and line, many lists to a row."""
+    blocks, n_parts = long_lists(firsts, threshold), exchange.parts(firsts)
 
     def records(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, j, buf, off in textops.chunks(b.column(1)):
-                x = Lines(buf, off, (words, rank))
-                ok = x.leads()
-                ok &= den * x.n >= num * (x.n + 1)  # smaller sets reach the threshold with equal sets only
-                p = np.where(ok, x.n + (-num * x.n) // den + 1, 0)  # n - ceil(num * n / den) + 1
-                at = np.repeat(x.cut[:-1], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                line = np.repeat(np.arange(len(p)), p)
-                code, place = x.code[at], (at - x.cut[line]).astype(np.int32)
-                hot = code >> U(63) == 1
-                size = np.ones(len(code), np.int64)
-                if len(of_rank):
-                    size[hot] = -(-of_rank[(code[hot] & U((1 << 63) - 1)).astype(np.int64)] // BLOCK)
-                own = (textops.mix(x.f[line] + U(5)) % size.astype(np.uint64)).astype(np.int64)
+            doc, number, parity, n = (b.column(c).to_numpy() for c in ("doc_id", "line", "parity", "n"))
+            for i in range(0, len(b), 8192):
+                line, code, place = _prefix(b.slice(i, 8192), threshold)
+                line = line + i
+                common, size = code < RARE, np.ones(len(code), np.int64)
+                size[common] = blocks[code[common].astype(np.int64)]
+                own = (textops.mix(textops.unsigned(doc[line]) + number[line].astype(np.uint64) * U(0x9E3779B97F4A7C15)) % size.astype(np.uint64)).astype(np.int64)
                 # a line of block o goes to the pairs (o, 0), ..., (o, size - 1); alone where the list is short
                 k = np.repeat(np.arange(len(code)), size)
                 other = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
@@ -127,38 +190,45 @@ def postings(docs: DataFrame, order: tuple[np.ndarray, np.ndarray, np.ndarray],
                 side = np.where(o == other, 2, np.where(o < other, 0, 1)).astype(np.int8)
                 key = textops.mix(code[k] * U(0x9E3779B97F4A7C15) + (lo * 65537 + hi).astype(np.uint64))
                 line = line[k]
-                yield (key % U(n_parts)).astype(np.int32), [key, x.f[line], x.parity[line], ids[i:j][x.row[line]], x.number[line].astype(np.int32), x.n[line].astype(np.int32), place[k], side]
+                yield (key % U(n_parts)).astype(np.int32), [key, doc[line], number[line].astype(np.int32), textops.unsigned(parity[line]), n[line].astype(np.int32), place[k].astype(np.int32), side]
 
-    return exchange.shuffled(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(lambda it: exchange.scatter(records(it)), exchange.SCHEMA))
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in exchange.gather(batches, KINDS, 0, n_parts):
+            k = np.lexsort((cols[2], cols[1], cols[0]))
+            key = cols[0][k]
+            some = np.zeros(len(k), bool)  # lists of one entry hold no pair
+            some[1:] |= key[1:] == key[:-1]
+            some[:-1] |= key[1:] == key[:-1]
+            k = k[some]
+            if len(k):
+                data = np.int64(len(k)).tobytes() + b"".join(np.ascontiguousarray(c[k]).tobytes() for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
+    entries = firsts.select("doc_id", "line", "parity", "n", "rare", "common").mapInArrow(lambda it: exchange.scatter(records(it)), exchange.SCHEMA)
+    return exchange.shuffled(entries).mapInArrow(order, "data binary")
 
-PAIR = "fa long, doc_a long, line_a int, fb long, doc_b long, line_b int, more boolean"
 
+PAIR = "doc_a long, line_a int, doc_b long, line_b int, more boolean"
 
-def candidates(posted: DataFrame, threshold: tuple[int, int], first: int | None, asked: np.ndarray | None = None) -> DataFrame:
-    """Pairs a before b that pass the filters; of each list the ``first`` earliest for each b (None: all). ``asked``: only
-    b whose set may be in this filter."""
-    num, den = threshold
 
-    def entries(cols: list[np.ndarray]) -> list[np.ndarray]:
-        """The part's entries by list, document and line; of one set in one list, the first stands for all."""
-        key, f, _, doc, line, *_ = cols
-        k = np.lexsort((line, doc, key))
-        o = np.lexsort((np.arange(len(k)), f[k], key[k]))
-        first_of = np.ones(len(k), bool)
-        first_of[o[1:]] = (f[k][o][1:] != f[k][o][:-1]) | (key[k][o][1:] != key[k][o][:-1])
-        k = k[first_of]
-        return [c[k] for c in cols]
+def line_id(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return textops.signed(textops.mix(textops.unsigned(doc.astype(np.int64)) * U(0x9E3779B97F4A7C15) + line.astype(np.uint64)))
+
+
+def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until: int | None, asked: np.ndarray | None = None) -> DataFrame:
+    """Pairs a before b that pass the filters: of each list those for each b from the ``after``-th on, up to ``until`` (None: all),
+    and whether there are more. ``asked``: only lines b that may be in this filter."""
+    num, den = threshold
 
     def meetings(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, f, parity, _, _, n, place, side = cols
+        key, doc, line, parity, n, place, side = cols
         n, place = n.astype(np.int64), place.astype(np.int64)
         start = np.searchsorted(key, key)
         size = np.searchsorted(key, key, side="right") - start
         rank = np.arange(len(key)) - start
         wanted = rank > 0
         if asked is not None:
-            wanted &= filters.has(textops.signed(f), asked)
+            wanted &= filters.has(line_id(doc, line), asked)
 
         def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             na, nb = n[a], n[b]
@@ -178,121 +248,159 @@ def candidates(posted: DataFrame, threshold: tuple[int, int], first: int | None,
             step += 1
         for b in np.flatnonzero(wanted & (size > 256)):
             got, at = 0, start[b]
-            while at < b and (first is None or got <= first):  # in order, a few thousand at a time
+            while at < b and (until is None or got <= until):  # in order, a few thousand at a time
                 a = np.arange(at, min(b, at + 4096))
                 a = a[passes(a, np.full(len(a), b))]
-                if first is not None:
-                    a = a[: first + 1 - got]
+                if until is not None:
+                    a = a[: until + 1 - got]
                 if len(a):
                     got += len(a)
                     yield a, np.full(len(a), b)
                 at += 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cols in exchange.gather(batches, KINDS):
-            cols = entries(cols)
-            _, f, _, doc, line, *_ = cols
-            pairs = list(meetings(cols))
-            if not pairs:
-                continue
-            a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-            o = np.lexsort((a, b))
-            a, b = a[o], b[o]
-            more = np.zeros(len(b), bool)
-            if first is not None:  # the earliest ``first`` of each b
+        for batch in batches:
+            for x in batch.column(0):
+                cols = exchange.columns([x.as_py()], KINDS)
+                _, doc, line, *_ = cols
+                pairs = list(meetings(cols))
+                if not pairs:
+                    continue
+                a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+                o = np.lexsort((a, b))
+                a, b = a[o], b[o]
                 place = np.arange(len(b)) - np.searchsorted(b, b)
-                more = np.searchsorted(b, b, side="right") - np.searchsorted(b, b) > first
-                a, b, more = a[place < first], b[place < first], more[place < first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(textops.signed(f[a])), pa.array(doc[a]), pa.array(line[a]), pa.array(textops.signed(f[b])), pa.array(doc[b]), pa.array(line[b]), pa.array(more)],
-                names=["fa", "doc_a", "line_a", "fb", "doc_b", "line_b", "more"],
-            )
+                more = np.zeros(len(b), bool)
+                now = place >= after
+                if until is not None:
+                    more = np.searchsorted(b, b, side="right") - np.searchsorted(b, b) > until
+                    now &= place < until
+                a, b, more = a[now], b[now], more[now]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(line[a]), pa.array(doc[b]), pa.array(line[b]), pa.array(more)], names=["doc_a", "line_a", "doc_b", "line_b", "more"])
 
-    return posted.mapInArrow(run, PAIR)
+    return listed.mapInArrow(run, PAIR)
 
 
-def _sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(f, words) of lines whose set may be in the filter."""
+def _lines_in(firsts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """Lines of ``firsts`` that may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, off in textops.chunks(b.column(0)):
-                x = Lines(buf, off)
-                ok = np.flatnonzero(filters.has(textops.signed(x.f), wanted))
-                yield pa.RecordBatch.from_arrays([pa.array(textops.signed(x.f[ok])), pa.array([np.sort(x.h[x.cut[i] : x.cut[i + 1]]).tobytes() for i in ok], pa.binary())], names=["f", "words"])
+            ok = filters.has(line_id(b.column(0).to_numpy(), b.column(1).to_numpy()), wanted)
+            if ok.any():
+                yield b.filter(pa.array(ok))
 
-    return docs.select("text").mapInArrow(run, "f long, words binary")
+    return firsts.select("doc_id", "line", "f", "rare", "common").mapInArrow(run, "doc_id long, line int, f long, rare binary, common binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """``pairs`` (fa, fb) whose sets reach the threshold."""
-    num, den = threshold
+def _ids(pairs: DataFrame, *sides: str) -> DataFrame:
+    """(id): ``line_id`` of the lines on the ``sides`` of ``pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(len(b), bool)
-            for i, (x, y) in enumerate(zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = den * both >= num * (len(x) + len(y) - both)
-            yield b.select(["fa", "fb"]).filter(pa.array(ok))
+            x = np.concatenate([line_id(b.column(f"doc_{s}").to_numpy(), b.column(f"line_{s}").to_numpy()) for s in sides])
+            yield pa.RecordBatch.from_arrays([pa.array(x)], names=["id"])
 
-    side = lambda c: sets.select(F.col("f").alias(f"f{c}"), F.col("words").alias(f"w{c}"))
-    return pairs.join(side("a"), "fa").join(side("b"), "fb").select("fa", "fb", "wa", "wb").mapInArrow(run, "fa long, fb long")
+    return pairs.select(*[f"{x}_{s}" for s in sides for x in ("doc", "line")]).mapInArrow(run, "id long")
 
 
-def _clean(rows: DataFrame) -> DataFrame:
-    carried = [f for f in rows.schema if f.name == "_rest"]
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType()), *carried])
+def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(f, doc_b, line_b): the lines b of ``pairs`` whose sets reach the threshold with those of their a."""
+    num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lost_col = b.column("lost").to_pylist() if "lost" in b.schema.names else None
-            for i, j, buf, off in textops.chunks(b.column("text")):
-                x = Lines(buf, off)
-                hit = ~x.leads()
-                raw, texts, removed, total = buf.tobytes(), [], [], []
-                cut = np.searchsorted(x.row, np.arange(j - i + 1))
-                for r in range(j - i):
-                    own = slice(cut[r], cut[r + 1])
-                    gone = hit[own]
-                    if lost_col is not None and lost_col[i + r]:
-                        gone = gone | np.isin(textops.signed(x.f[own]), np.array(lost_col[i + r], np.int64))
-                    text = raw[off[r] : off[r + 1]]
-                    g = x.number[own][gone]
-                    if len(g):
-                        lines = text.split(b"\n")
-                        drop = set(g.tolist())
-                        text = b"\n".join(t for k, t in enumerate(lines) if k not in drop)
-                    texts.append(text)
-                    removed.append(g.astype(np.int32))
-                    total.append(cut[r + 1] - cut[r])
-                cols = [b.column("doc_id").slice(i, j - i), pa.array(total, pa.int32()), pa.array([len(g) for g in removed], pa.int32()), pa.array(removed, pa.list_(pa.int32())), pa.array(texts, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(cols + [b.column("_rest").slice(i, j - i) for _ in carried], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def similar_sets(docs: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
-    """(f, match): every line set with an earlier one within the threshold, and one such."""
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                b = batch.slice(i, 4096)
+                (x, xc), (y, yc) = _codes(b, "_a"), _codes(b, "_b")
+                code, pair = np.concatenate([x, y]), np.concatenate([textops.owners(xc), textops.owners(yc)])
+                k = np.argsort(code)
+                k = k[np.argsort(pair[k], kind="stable")]
+                code, pair = code[k], pair[k]
+                both = np.bincount(pair[1:][(code[1:] == code[:-1]) & (pair[1:] == pair[:-1])], minlength=len(b))
+                ok = den * both >= num * (np.diff(xc) + np.diff(yc) - both)
+                yield b.select(["f", "doc_b", "line_b"]).filter(pa.array(ok))
+
+    side = lambda s, *more: sets.select(F.col("doc_id").alias(f"doc_{s}"), F.col("line").alias(f"line_{s}"), *more, *[F.col(c).alias(f"{c}_{s}") for c in ("rare", "common")])
+    joined = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b", "f"), ["doc_b", "line_b"])
+    return joined.select("f", "doc_b", "line_b", "rare_a", "common_a", "rare_b", "common_b").mapInArrow(run, "f long, doc_b long, line_b int")
+
+
+def similar_lines(firsts: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
+    """(f, doc_b, line_b): every line of ``firsts`` with an earlier one within the threshold."""
+    listed = sc.save(lists(firsts, threshold), "lists")
+    sc.tidy()
+    found, after, asked = None, 0, None
+    for k, until in enumerate(ROUNDS):
+        pairs = candidates(listed, threshold, after, until, asked).groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max("more").alias("more"))
+        pairs = sc.save(pairs, f"pairs_{k}")
+        sets = _lines_in(firsts, filters.build(_ids(pairs, "a", "b"), "id"))
+        good = sc.save(verify(pairs.drop("more"), sets, threshold).distinct(), f"good_{k}")
+        found = good if found is None else found.unionByName(good)
+        open_ = pairs.filter("more").select("doc_b", "line_b").distinct().join(good, ["doc_b", "line_b"], "left_anti")
+        if until is None or (open_ := sc.save(open_, f"open_{k}")).isEmpty():
+            sc.tidy(f"pairs_{k}")
+            break
+        after, asked = until, filters.build(_ids(open_, "b"), "id")
+        sc.tidy(f"pairs_{k}", f"open_{k}")
+    sc.tidy("lists")
+    return found
+
+
+def lost_lines(docs: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
+    """(th, doc_id, lost): the numbers of the lines that go, a row for each row of ``docs`` that loses any."""
     counts = sc.save(vocabulary.word_counts(docs), "words")
     words, c, _ = vocabulary.frequent(counts, "w", FREQUENT, 2)
     rank = np.empty(len(words), np.uint64)
     rank[np.lexsort((words, c))] = np.arange(len(words), dtype=np.uint64)
-    order = (words, rank, c)
-    found, k, asked = None, 0, None
-    while True:
-        pairs = sc.save(candidates(postings(docs, order, threshold), threshold, FIRST if k == 0 else None, asked), f"pairs_{k}")
-        both = pairs.select(F.col("fa").alias("f")).unionByName(pairs.select(F.col("fb").alias("f"))).distinct()
-        sets = sc.save(_sets(docs, filters.build(both, "f")).join(both, "f", "left_semi").dropDuplicates(["f"]), f"sets_{k}")
-        good = sc.save(verify(pairs.select("fa", "fb").distinct(), sets, threshold).groupBy("fb").agg(F.min("fa").alias("match")).withColumnRenamed("fb", "f"), f"good_{k}")
-        found = good if found is None else found.unionByName(good)
-        if k:
-            return found
-        undecided = sc.save(pairs.filter("more").select(F.col("fb").alias("f")).distinct().join(good, "f", "left_anti"), "undecided")
-        if undecided.isEmpty():
-            return found
-        asked, k = filters.build(undecided, "f"), 1
+    sc.tidy("words")
+    table = sc.save(parse(docs, (words, rank), threshold), "lines")
+    known = table.filter("lead and doc_id is not null")
+    classes = known.groupBy("f").agg(F.min("doc_id").alias("keeper"), F.min(F.struct("doc_id", "line")).alias("at"), F.max("doc_id").alias("_m"), F.count("*").alias("m"))
+    copied = sc.save(classes.filter("m > 1").select("f", "keeper", "_m", F.col("at.line").alias("line")), "copied")
+    # the first line of each class; only lines of classes with more than one are compared with the table of classes
+    several = filters.build(copied, "f")
+    row = known.filter((F.length("rare") > 0) | (F.length("common") > 0)).select("f", "doc_id", "line", "n", "parity", "rare", "common")
+    heads = copied.select("f", F.col("keeper").alias("doc_id"), "line")
+    among = filters.keep(row, "f", several)
+    alone = among.join(copied.select("f"), "f", "left_anti")
+    first = among.join(heads, ["f", "doc_id", "line"], "left_semi").dropDuplicates(["f", "doc_id", "line"])
+    firsts = filters.keep(row, "f", several, False).unionByName(alone).unionByName(first)
+    firsts = sc.save(firsts, "firsts")
+    sc.tidy()
+    near = similar_lines(firsts, sc, threshold).select("f", F.lit(None).cast("long").alias("keeper"))
+    rules = copied.filter("keeper < _m").select("f", "keeper").unionByName(near)
+    rules = sc.save(rules.groupBy("f").agg(F.min("keeper").alias("keeper"), F.max(F.col("keeper").isNull()).alias("every")), "rules")
+    sc.tidy("firsts", "copied")
+    hits = filters.keep(known.select("th", "doc_id", "line", "f"), "f", filters.build(rules, "f")).join(rules, "f")
+    hits = hits.filter(F.col("every") | (F.col("doc_id") > F.col("keeper"))).select("th", "doc_id", "line")
+    lost = hits.unionByName(table.filter("not lead").select("th", "doc_id", "line")).groupBy("th", "doc_id").agg(F.collect_set("line").alias("lost"))
+    lost = sc.save(lost, "lost")
+    sc.tidy("lines", "rules", *[f"good_{k}" for k in range(len(ROUNDS))])
+    return lost
+
+
+def _clean(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``lost`` applied: n_lines, n_removed, removed and the text without these lines in place of lost and text."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    gone = F.coalesce(F.array_sort("lost"), F.array().cast("array<int>"))
+    text = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    out = rows.withColumn("removed", gone).withColumn("n_removed", F.size("removed"))
+    out = out.withColumn("n_lines", F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))))
+    return out.withColumn("text", F.when(F.col("n_removed") == 0, F.coalesce("text", F.lit(""))).otherwise(text)).drop("lost", "th")
+
+
+def cleaned(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``docs`` (doc_id, text and others) with n_lines, n_removed, removed and the cleaned text. Texts that lose nothing are not shuffled."""
+    sc = Scratch(spark, "lines")
+    lost = lost_lines(docs, sc, threshold)
+    touched = filters.build(lost, "th")
+    rows = docs.withColumn("th", text_key())
+    some = filters.keep(rows, "th", touched).alias("x")
+    other = lost.alias("y")
+    hit = some.join(other, (F.col("x.th") == F.col("y.th")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")), "left").select("x.*", "y.lost")
+    rest = filters.keep(rows, "th", touched, False).withColumn("lost", F.lit(None).cast("array<int>"))
+    return _clean(hit).unionByName(_clean(rest))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -301,20 +409,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int]
 
     Lines without words are never removed. Null and empty texts come back empty; rows of one id are one document;
     a null id's lines are compared with each other only, for equal sets; an empty table gives an empty one."""
-    sc = Scratch(spark, "lines")
-    seen = line_rows(docs).groupBy("f").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_m")).filter("keeper < _m").select("f", "keeper")
-    copied = sc.save(seen, "copied")
-    near = sc.save(similar_sets(docs, sc, threshold).select("f").distinct(), "near")
-    rules = sc.save(copied.unionByName(near.withColumn("keeper", F.lit(None).cast("long"))).groupBy("f").agg(F.min("keeper").alias("keeper"), F.max(F.col("keeper").isNull()).alias("all")), "rules")
-    hits = line_rows(docs, filters.build(rules, "f")).join(rules, "f").filter(F.col("all") | (F.col("doc_id") > F.col("keeper")))
-    lost = sc.save(hits.select("doc_id", "f").distinct().groupBy("doc_id").agg(F.collect_list("f").alias("lost")), "lost")
-    touched = filters.build(lost, "doc_id")
-    rows = docs.select("doc_id", "text", *[c for c in docs.columns if c == "_rest"])
-    return _clean(filters.keep(rows, "doc_id", touched).join(lost, "doc_id", "left")).unionByName(_clean(filters.keep(rows, "doc_id", touched, False)))
+    return cleaned(spark, docs.select("doc_id", "text"), threshold).select("doc_id", "n_lines", "n_removed", "removed", "text")
 
 
 def filter_lines(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with the cleaned text in place of text; all columns stay. Documents of whose words nothing is left go."""
     packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(True).alias("_")).alias("_rest"))
-    clean = dedup_lines(spark, packed, threshold).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    clean = cleaned(spark, packed, threshold).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return clean.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns])

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-CHUNK = 1_000_000
+CHUNK = 256_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -46,11 +46,11 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, CHUNK + 200_000)
+        size = max(n, 2 * CHUNK)
         for key, r in (("p", _R), ("i", _RINV)):
             a = np.full(size, r, dtype=np.uint64)
             a[0] = 1
-            if size <= 2 * (CHUNK + 200_000):
+            if size <= 8 * CHUNK:
                 _POWERS[key] = np.cumprod(a, dtype=np.uint64)
             else:  # one huge text: do not keep its tables
                 a = np.cumprod(a, dtype=np.uint64)

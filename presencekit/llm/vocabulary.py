@@ -47,7 +47,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         return exchange.scatter(records())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (u, c) in exchange.gather(batches, [np.uint64, np.uint32]):
+        for _, (u, c) in exchange.gather(batches, [np.uint64, np.uint32], 0, n_parts):
             u, c = total(u, c)
             yield pa.RecordBatch.from_arrays([pa.array(textops.signed(u)), pa.array(c)], names=["w", "c"])
 

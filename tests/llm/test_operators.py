@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presencekit.llm import exchange, graph, katz, linedup, minhash, mixing, packing, quality, queries, rules, scratch, substrings, textops, topk, toxicity
+from presencekit.llm import exchange, graph, katz, linedup, minhash, mixing, packing, quality, queries, rules, substrings, textops, topk, toxicity
+from presencekit.scratch import Scratch
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \n\t ", "one", "Two words\n\nTwo words", "ÄÖ ü x  y", "a" * 3000, "w " * 5000]
@@ -74,9 +75,9 @@ def test_exchange_round_trip(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 51), (51, 52), (60, 60), (100, 50), (5, 3)]
-    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), scratch.Scratch(spark, "t"), "g").collect()}
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "g").collect()}
     assert got == {i: 0 for i in range(31)} | {i: 50 for i in (50, 51, 52, 100)}
-    assert graph.components(spark.createDataFrame([], "a long, b long"), scratch.Scratch(spark, "t"), "g").count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "g").count() == 0
 
 
 # --- 1 mixing
@@ -211,8 +212,8 @@ def test_lines(spark, monkeypatch):
     texts += [near(base, rng.choice(40, rng.integers(0, 9), replace=False), f"v{i}") for i in range(60)]  # one group of near copies
     want = lines_gone(texts)
     df = docs(spark, texts)
-    for first, block in ((3, 8192), (1, 16)):
-        monkeypatch.setattr(linedup, "FIRST", first)
+    for rounds, block in (((2, 8, 64, None), 8192), ((1, 2, None), 16)):
+        monkeypatch.setattr(linedup, "ROUNDS", rounds)
         monkeypatch.setattr(linedup, "BLOCK", block)
         got = by_id(linedup.dedup_lines(spark, df))
         assert {(d, k) for d, r in got.items() for k in r["removed"]} == want
@@ -246,7 +247,7 @@ def test_quality(spark):
 def test_quality_shrinks_sparse_sites(spark):
     rows = [("big", "p", 0.9)] * 200 + [("low", "p", 0.2)] * 200 + [("rare", "p", 0.5)] * 1 + [(None, None, 0.5)] * 2
     df = spark.createDataFrame([(i, h, p, x) for i, (h, p, x) in enumerate(rows)], "doc_id long, host string, path string, p double")
-    got = by_id(quality.posterior(df, scratch.Scratch(spark, "t")))
+    got = by_id(quality.posterior(df, Scratch(spark, "t")))
     prior = sum(r[2] for r in rows) / len(rows)
     assert len(got) == len(rows)
     assert got[0]["score"] > got[0]["p"] and got[200]["score"] < got[200]["p"]
