@@ -8,7 +8,7 @@ shuffle partitions, so that their sizes even out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +64,9 @@ def columns(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
     return [np.concatenate(g) for g in got]
 
 
-def gather(batches: Iterator[pa.RecordBatch], kinds: list, key: int | None = None, n_parts: int = 1, limit: int = LIMIT) -> Iterator[tuple[int, list[np.ndarray]]]:
+def gather(batches: Iterator[pa.RecordBatch], kinds: list, key: int | Callable | None = None, n_parts: int = 1, limit: int = LIMIT) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(part, columns) of every part; ``kinds``: their numpy types. With ``key``, the number of a uint64 column that the part is
-    the remainder of by ``n_parts``: a part of more than ``limit`` records comes in several pieces, each with all records of its
+    the remainder of by ``n_parts``, or a function that makes one of all columns: a part of more than ``limit`` records comes in several pieces, each with all records of its
     keys, so that what a caller does with a piece takes bounded memory but for records of one key."""
     last, held = None, []
 
@@ -78,7 +78,7 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: list, key: int | None = Non
             yield last, cols
             return
         s = -(-n // limit)
-        sub = (cols[key] // np.uint64(n_parts)) % np.uint64(s)
+        sub = ((key(cols) if callable(key) else cols[key]) // np.uint64(n_parts)) % np.uint64(s)
         for k in range(s):
             own = np.flatnonzero(sub == k)
             yield last, [c[own] for c in cols]

@@ -136,6 +136,45 @@ def _codes(b: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, np.ndarray]
     return out, cut
 
 
+def _live(batches: Iterator[pa.RecordBatch], gone: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The lines that enter the join: first of their set in their text, with words, and not in the filter ``gone``."""
+    for b in batches:
+        if gone is not None:
+            ids = b.column("doc_id")
+            ok = b.column("lead").to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+            ok &= (np.diff(textops.buffers(b.column("rare"))[1]) + np.diff(textops.buffers(b.column("common"))[1])) > 0
+            ok &= ~filters.has(line_id(ids.fill_null(0).to_numpy(), b.column("line").to_numpy()), gone)
+            b = b.filter(pa.array(ok))
+        if len(b):
+            yield b
+
+
+class Firsts:
+    """The first lines of all classes: the rows of the table of lines that the filter ``gone`` clears of being copies, and, joined
+    exactly, those that it doesn't."""
+
+    COLUMNS = ["doc_id", "line", "lead", "f", "n", "parity", "rare", "common"]
+
+    def __init__(self, table: DataFrame, copies: DataFrame, sc: Scratch) -> None:
+        self.table, self.gone = table.select(self.COLUMNS), filters.build(_ids(copies), "id")
+        gone = self.gone
+
+        def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _live(batches, np.zeros(1, np.uint8)):
+                ok = filters.has(line_id(b.column("doc_id").to_numpy(), b.column("line").to_numpy()), gone)
+                if ok.any():
+                    yield b.filter(pa.array(ok))
+
+        key = ["f", "doc_id", "line"]
+        rest = self.table.mapInArrow(maybe, self.table.schema).join(copies.select(key), key, "left_anti").dropDuplicates(key)
+        self.rest = sc.save(rest.select(self.COLUMNS), "first_of_copies")
+
+    def map(self, f, schema: str) -> DataFrame:
+        """``f`` over batches of lines."""
+        gone = self.gone
+        return self.table.mapInArrow(lambda it: f(_live(it, gone)), schema).unionByName(self.rest.mapInArrow(f, schema))
+
+
 def _prefix(b: pa.RecordBatch, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, code, place) of every word that a line of the batch is indexed under."""
     num, den = threshold
@@ -147,7 +186,7 @@ def _prefix(b: pa.RecordBatch, threshold: tuple[int, int]) -> tuple[np.ndarray,
     return line, codes[cut[:-1][line] + place], place
 
 
-def long_lists(firsts: DataFrame, threshold: tuple[int, int]) -> np.ndarray:
+def long_lists(firsts: Firsts, threshold: tuple[int, int]) -> np.ndarray:
     """Blocks of the list of each frequent word, by rank. Lists of other words are shorter than those of all frequent ones may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +197,7 @@ def long_lists(firsts: DataFrame, threshold: tuple[int, int]) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["rank", "n"])
 
-    counts = firsts.select("rare", "common").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+    counts = firsts.map(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
     out = np.ones(FREQUENT, np.int64)
     for r in counts.filter(F.col("n") > BLOCK).toLocalIterator():  # at most an entry of the frequent table each
         out[r["rank"]] = -(-r["n"] // BLOCK)
@@ -166,19 +205,23 @@ def long_lists(firsts: DataFrame, threshold: tuple[int, int]) -> np.ndarray:
 
 
 #: Index entries: list key, doc, line, parity, n, place, side.
-KINDS = [np.uint64, np.int64, np.int32, np.uint64, np.int32, np.int32, np.int8]
+KINDS = [np.uint32, np.int64, np.int32, np.uint64, np.int32, np.int32, np.int8]
 
 
-def lists(firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(data): whole lists of index entries, in order of list, document and line, many lists to a row."""
-    blocks, n_parts = long_lists(firsts, threshold), exchange.parts(firsts)
+def lists(firsts: Firsts, threshold: tuple[int, int], many: np.ndarray) -> DataFrame:
+    """(data): whole lists of index entries, in order of list, document and line, many lists to a row.
+
+    Lists are keyed by 32 bits beside the part's number: two that share a key only bring more candidates. Words that
+    occur once (not in the filter ``many``) have no list."""
+    blocks, n_parts = long_lists(firsts, threshold), exchange.parts(firsts.table)
 
     def records(batches):
         for b in batches:
             doc, number, parity, n = (b.column(c).to_numpy() for c in ("doc_id", "line", "parity", "n"))
             for i in range(0, len(b), 8192):
                 line, code, place = _prefix(b.slice(i, 8192), threshold)
-                line = line + i
+                ok = (code < RARE) | filters.has(textops.signed(code | RARE), many)
+                line, code, place = line[ok] + i, code[ok], place[ok]
                 common, size = code < RARE, np.ones(len(code), np.int64)
                 size[common] = blocks[code[common].astype(np.int64)]
                 own = (textops.mix(textops.unsigned(doc[line]) + number[line].astype(np.uint64) * U(0x9E3779B97F4A7C15)) % size.astype(np.uint64)).astype(np.int64)
@@ -190,10 +233,11 @@ def lists(firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                 side = np.where(o == other, 2, np.where(o < other, 0, 1)).astype(np.int8)
                 key = textops.mix(code[k] * U(0x9E3779B97F4A7C15) + (lo * 65537 + hi).astype(np.uint64))
                 line = line[k]
-                yield (key % U(n_parts)).astype(np.int32), [key, doc[line], number[line].astype(np.int32), textops.unsigned(parity[line]), n[line].astype(np.int32), place[k].astype(np.int32), side]
+                cols = [key // U(n_parts), doc[line], number[line], textops.unsigned(parity[line]), n[line], place[k], side]
+                yield (key % U(n_parts)).astype(np.int32), [np.asarray(c).astype(t) for c, t in zip(cols, KINDS)]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cols in exchange.gather(batches, KINDS, 0, n_parts):
+        for _, cols in exchange.gather(batches, KINDS, lambda x: x[0].astype(np.uint64) * U(n_parts), n_parts):
             k = np.lexsort((cols[2], cols[1], cols[0]))
             key = cols[0][k]
             some = np.zeros(len(k), bool)  # lists of one entry hold no pair
@@ -204,7 +248,7 @@ def lists(firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                 data = np.int64(len(k)).tobytes() + b"".join(np.ascontiguousarray(c[k]).tobytes() for c in cols)
                 yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
-    entries = firsts.select("doc_id", "line", "parity", "n", "rare", "common").mapInArrow(lambda it: exchange.scatter(records(it)), exchange.SCHEMA)
+    entries = firsts.map(lambda it: exchange.scatter(records(it)), exchange.SCHEMA)
     return exchange.shuffled(entries).mapInArrow(order, "data binary")
 
 
@@ -234,7 +278,7 @@ def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until:
             na, nb = n[a], n[b]
             need = _need(na, nb, num, den)
             ok = (np.minimum(na, nb) >= need) & (np.minimum(na - place[a], nb - place[b]) >= need)
-            ok &= (side[a] == 2) | (side[a] != side[b])
+            ok &= ((side[a] == 2) | (side[a] != side[b])) & ((doc[a] != doc[b]) | (line[a] != line[b]))
             ok[ok] = np.bitwise_count(parity[a[ok]] ^ parity[b[ok]]) <= (na + nb - 2 * need)[ok]
             return ok
 
@@ -281,27 +325,28 @@ def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until:
     return listed.mapInArrow(run, PAIR)
 
 
-def _lines_in(firsts: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _lines_in(firsts: Firsts, wanted: np.ndarray) -> DataFrame:
     """Lines of ``firsts`` that may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = filters.has(line_id(b.column(0).to_numpy(), b.column(1).to_numpy()), wanted)
+            ok = filters.has(line_id(b.column("doc_id").to_numpy(), b.column("line").to_numpy()), wanted)
             if ok.any():
-                yield b.filter(pa.array(ok))
+                yield b.select(["doc_id", "line", "f", "rare", "common"]).filter(pa.array(ok))
 
-    return firsts.select("doc_id", "line", "f", "rare", "common").mapInArrow(run, "doc_id long, line int, f long, rare binary, common binary")
+    return firsts.map(run, "doc_id long, line int, f long, rare binary, common binary")
 
 
-def _ids(pairs: DataFrame, *sides: str) -> DataFrame:
-    """(id): ``line_id`` of the lines on the ``sides`` of ``pairs``."""
+def _ids(lines: DataFrame, *sides: str) -> DataFrame:
+    """(id): ``line_id`` of the lines (doc_id, line), or of those on the ``sides`` of pairs."""
+    names = [(f"doc_{s}", f"line_{s}") for s in sides] or [("doc_id", "line")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.concatenate([line_id(b.column(f"doc_{s}").to_numpy(), b.column(f"line_{s}").to_numpy()) for s in sides])
+            x = np.concatenate([line_id(b.column(d).to_numpy(), b.column(n).to_numpy()) for d, n in names])
             yield pa.RecordBatch.from_arrays([pa.array(x)], names=["id"])
 
-    return pairs.select(*[f"{x}_{s}" for s in sides for x in ("doc", "line")]).mapInArrow(run, "id long")
+    return lines.select(*[c for two in names for c in two]).mapInArrow(run, "id long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -326,9 +371,9 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Dat
     return joined.select("f", "doc_b", "line_b", "rare_a", "common_a", "rare_b", "common_b").mapInArrow(run, "f long, doc_b long, line_b int")
 
 
-def similar_lines(firsts: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
+def similar_lines(firsts: Firsts, many: np.ndarray, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
     """(f, doc_b, line_b): every line of ``firsts`` with an earlier one within the threshold."""
-    listed = sc.save(lists(firsts, threshold), "lists")
+    listed = sc.save(lists(firsts, threshold, many), "lists")
     sc.tidy()
     found, after, asked = None, 0, None
     for k, until in enumerate(ROUNDS):
@@ -353,30 +398,24 @@ def lost_lines(docs: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> Data
     words, c, _ = vocabulary.frequent(counts, "w", FREQUENT, 2)
     rank = np.empty(len(words), np.uint64)
     rank[np.lexsort((words, c))] = np.arange(len(words), dtype=np.uint64)
+    many = filters.build(counts.filter("c > 1").select(F.col("w").bitwiseOR(F.lit(-(2**63))).alias("w")), "w")
     sc.tidy("words")
     table = sc.save(parse(docs, (words, rank), threshold), "lines")
-    known = table.filter("lead and doc_id is not null")
-    classes = known.groupBy("f").agg(F.min("doc_id").alias("keeper"), F.min(F.struct("doc_id", "line")).alias("at"), F.max("doc_id").alias("_m"), F.count("*").alias("m"))
-    copied = sc.save(classes.filter("m > 1").select("f", "keeper", "_m", F.col("at.line").alias("line")), "copied")
-    # the first line of each class; only lines of classes with more than one are compared with the table of classes
-    several = filters.build(copied, "f")
-    row = known.filter((F.length("rare") > 0) | (F.length("common") > 0)).select("f", "doc_id", "line", "n", "parity", "rare", "common")
-    heads = copied.select("f", F.col("keeper").alias("doc_id"), "line")
-    among = filters.keep(row, "f", several)
-    alone = among.join(copied.select("f"), "f", "left_anti")
-    first = among.join(heads, ["f", "doc_id", "line"], "left_semi").dropDuplicates(["f", "doc_id", "line"])
-    firsts = filters.keep(row, "f", several, False).unionByName(alone).unionByName(first)
-    firsts = sc.save(firsts, "firsts")
-    sc.tidy()
-    near = similar_lines(firsts, sc, threshold).select("f", F.lit(None).cast("long").alias("keeper"))
-    rules = copied.filter("keeper < _m").select("f", "keeper").unionByName(near)
-    rules = sc.save(rules.groupBy("f").agg(F.min("keeper").alias("keeper"), F.max(F.col("keeper").isNull()).alias("every")), "rules")
-    sc.tidy("firsts", "copied")
-    hits = filters.keep(known.select("th", "doc_id", "line", "f"), "f", filters.build(rules, "f")).join(rules, "f")
-    hits = hits.filter(F.col("every") | (F.col("doc_id") > F.col("keeper"))).select("th", "doc_id", "line")
-    lost = hits.unionByName(table.filter("not lead").select("th", "doc_id", "line")).groupBy("th", "doc_id").agg(F.collect_set("line").alias("lost"))
+    known = table.filter("lead and doc_id is not null").select("th", "doc_id", "line", "f")
+    classes = known.groupBy("f").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("m")).filter("m > 1")
+    copied = sc.save(classes.select("f", F.col("at.doc_id").alias("keeper"), F.col("at.line").alias("at_line")), "copied")
+    # all lines of a class but its first; both sides of the join are files, so that AQE can split a class that very many lines share
+    copies = filters.keep(known, "f", filters.build(copied, "f")).join(copied, "f").filter("doc_id <> keeper or line <> at_line")
+    copies = sc.save(copies.select("th", "doc_id", "line", "f", "keeper"), "copies")
+    firsts = Firsts(table, copies, sc)
+    sc.tidy("copied")
+    near = sc.save(similar_lines(firsts, many, sc, threshold).select("f").distinct(), "near")
+    sc.tidy("first_of_copies", *[f"good_{k}" for k in range(len(ROUNDS))])
+    similar = filters.keep(known, "f", filters.build(near, "f")).join(near, "f")
+    lost = copies.filter("doc_id > keeper").select("th", "doc_id", "line").unionByName(similar.select("th", "doc_id", "line"))
+    lost = lost.unionByName(table.filter("not lead").select("th", "doc_id", "line")).groupBy("th", "doc_id").agg(F.collect_set("line").alias("lost"))
     lost = sc.save(lost, "lost")
-    sc.tidy("lines", "rules", *[f"good_{k}" for k in range(len(ROUNDS))])
+    sc.tidy("lines", "copies", "near")
     return lost
 
 
