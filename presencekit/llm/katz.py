@@ -1,15 +1,16 @@
 """Operator 9: language-model scores by Katz backoff.
 
 Bigrams over unigrams over one unknown word. Counts r up to 5 are discounted by Good-Turing,
-d_r = ((r+1) n_{r+1} / (r n_r) - A) / (1 - A) with A = 6 n_6 / n_1; bigrams seen fewer than ``min_count`` times back off (as
-Katz proposes for single ones). A history v has the seen words' discounted shares, and every other word w gets
-alpha(v) P(w), alpha(v) being what is left over 1 - sum of P over the seen words: the words' probabilities sum to one.
-
-The score of a text is a sum, and so is split: log alpha(v) + log P(w) for every token, which needs a value of single words
-only, and for every seen bigram the difference D to its own log probability. Tables (word: count, log P, log alpha; bigram: D)
-are written partitioned in the shared folder. The bounded most frequent part of each is sent to the tasks and takes about
-half of the tokens; the rest meet the tables in one shuffle of compact blobs, from which a fixed-size Bloom
-filter keeps bigrams that the model does not hold. All counts cover all training texts.
+d_r = ((r+1) n_{r+1} / (r n_r) - A) / (1 - A) with A = 6 n_6 / n_1. A history v has the seen words' discounted shares, and
+every other word w gets alpha(v) P(w), alpha(v) being what is left over 1 - sum of P over the seen words: the words'
+probabilities sum to one. Every bigram is kept, single ones too.
+
+The model is three tables in the shared folder: bigrams (v, w, c), histories (v, log alpha, log total), words (code, c, log P).
+Each token is scored by recursion: the bigram, if the model has it, gives log d_c c - log total(v); if not, it backs off
+to log alpha(v) and asks for the word, and an absent word takes the mass of unseen ones. The bounded most frequent part of
+each table is sent to the tasks; other tokens meet the bigrams in one shuffle of compact blobs and the tables of words in
+a second, smaller one. All tokens of a training text are in the model, so those that a Bloom filter of bounded size shows not
+to be among the bigrams seen twice were seen once, and ask for nothing. All counts cover all training texts.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exchange, filters, textops, vocabulary
 from ..scratch import Scratch
+from . import exchange, filters, textops, vocabulary
 
 U = np.uint64
 START, END = U(1 << 62), U((1 << 62) + 1)
+#: Codes of words outside the frequent table have this bit.
+RARE = U(1 << 63)
 #: Entries of the frequent tables of words and bigrams; largest discounted count.
 WORDS, BIGRAMS, K = 1 << 17, 1 << 19, 5
-#: Records of the scoring shuffle that a mapper gathers before it emits.
-RECORDS = 150_000
+#: Tokens that a mapper combines before it emits, and occurrences of a history that one part counts.
+COMBINE, SPLIT = 400_000, 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,7 +44,7 @@ def held_out(doc_id: Column) -> Column:
 def codes(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     """A frequent word's number, else its hash with the top bit set."""
     at = textops.lookup(h, words)
-    return np.where(at >= 0, at.astype(np.uint64), (h >> U(1)) | U(1 << 63))
+    return np.where(at >= 0, at.astype(np.uint64), (h >> U(1)) | RARE)
 
 
 def tokens(buf: np.ndarray, off: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +67,7 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return textops.mix(textops.mix(v) * U(0x9E3779B97F4A7C15) + w)
 
 
-def discounts(n: dict[int, int], min_count: int = 1) -> np.ndarray:
+def discounts(n: dict[int, int]) -> np.ndarray:
     """d_r for r = 0..K + 1; the last is 1. Where counts of counts are too few to give 0 < d_r < 1, (r - 1/2) / r stands."""
     d = np.ones(K + 2)
     d[0] = 0
@@ -72,29 +75,48 @@ def discounts(n: dict[int, int], min_count: int = 1) -> np.ndarray:
     for r in range(1, K + 1):
         x = ((r + 1) * n.get(r + 1, 0) / (r * n[r]) - a) / (1 - a) if n.get(r) and a < 1 else 0
         d[r] = x if 0 < x < 1 else (r - 0.5) / r
-    d[1:min_count] = 0
     return d
 
 
-def bigram_counts(train: DataFrame, words: np.ndarray, min_count: int) -> DataFrame:
-    """(v, w, c, kind): kind 0, bigrams of at least ``min_count``; kind 1, c bigrams were seen v times (v up to K + 1)."""
+def _runs(*cols: np.ndarray) -> np.ndarray:
+    """Places at which a run of equal values begins in sorted columns."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return np.flatnonzero(new)
+
+
+def bigram_counts(train: DataFrame, words: np.ndarray, often: np.ndarray, n_docs: int) -> DataFrame:
+    """(v, w, c, kind): kind 0, all bigrams; kind 1, c bigrams were seen v times (v up to K + 1).
+
+    Parts go by history, those of frequent histories (``often``: their counts) split by the word, and rows come sorted by
+    history and word."""
     n_parts = exchange.parts(train)
+    split = np.append(-(-often // SPLIT), max(1, -(-n_docs // SPLIT))).astype(np.uint64)
+
+    def part_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        at = np.where(v == START, U(len(often)), v)
+        s = np.ones(len(v), np.uint64)
+        s[at < RARE] = split[at[at < RARE].astype(np.int64)]
+        return textops.mix(textops.mix(v) * U(0x9E3779B97F4A7C15) + textops.mix(w) % s)
 
     def records(batches):
         held, n = [], 0
 
         def out():
             v, w = (np.concatenate(x) for x in zip(*held))
-            key = pair_key(v, w)
-            u, at, c = np.unique(key, return_index=True, return_counts=True)
-            return (u % U(n_parts)).astype(np.int32), [v[at], w[at], c.astype(np.uint32)]
+            k = np.lexsort((w, v))
+            v, w = v[k], w[k]
+            at = _runs(v, w)
+            c = np.diff(np.append(at, len(v)))
+            v, w = v[at], w[at]
+            return (part_key(v, w) % U(n_parts)).astype(np.int32), [v, w, c.astype(np.uint32)]
 
         for b in batches:
             for _, _, buf, off in textops.chunks(b.column(0)):
                 v, w, _ = tokens(buf, off, words)
                 held.append((v, w))
                 n += len(v)
-                if n > exchange.FLUSH:
+                if n > COMBINE:
                     yield out()
                     held, n = [], 0
         if held:
@@ -102,27 +124,40 @@ def bigram_counts(train: DataFrame, words: np.ndarray, min_count: int) -> DataFr
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(K + 2, np.int64)
-        for _, (v, w, c) in exchange.gather(batches, [np.uint64, np.uint64, np.uint32]):
-            key = pair_key(v, w)
-            u, at, inv = np.unique(key, return_index=True, return_inverse=True)
-            c = np.bincount(inv, c, len(u)).astype(np.int64)
+        for _, (v, w, c) in exchange.gather(batches, [np.uint64, np.uint64, np.uint32], lambda x: part_key(x[0], x[1]), n_parts):
+            k = np.lexsort((w, v))
+            v, w, c = v[k], w[k], c[k].astype(np.int64)
+            at = _runs(v, w)
+            c = np.add.reduceat(c, at) if len(at) else c
             seen += np.bincount(c[c <= K + 1], minlength=K + 2)
-            ok = c >= min_count
-            at = at[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(textops.signed(v[at])), pa.array(textops.signed(w[at])), pa.array(c[ok]), pa.array(np.zeros(len(at), np.int32))], names=["v", "w", "c", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(textops.signed(v[at])), pa.array(textops.signed(w[at])), pa.array(c), pa.array(np.zeros(len(at), np.int32))], names=["v", "w", "c", "kind"])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, K + 2)), pa.array(np.zeros(K + 1, np.int64)), pa.array(seen[1:]), pa.array(np.ones(K + 1, np.int32))], names=["v", "w", "c", "kind"])
 
-    return exchange.shuffled(train.select("text").mapInArrow(lambda it: exchange.scatter(records(it)), exchange.SCHEMA)).mapInArrow(add, "v long, w long, c long, kind int")
+    counted = train.select("text").mapInArrow(lambda it: exchange.scatter(records(it), 1), exchange.SCHEMA)
+    return exchange.shuffled(counted).mapInArrow(add, "v long, w long, c long, kind int")
+
+
+def _keys(pairs: DataFrame) -> DataFrame:
+    """(key) of bigrams (v, w)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = pair_key(*(textops.unsigned(b.column(x).to_numpy()) for x in ("v", "w")))
+            yield pa.RecordBatch.from_arrays([pa.array(textops.signed(key))], names=["key"])
+
+    return pairs.select("v", "w").mapInArrow(run, "key long")
 
 
 class Model:
-    """A fitted model: tables ``words`` (code, c, lp, la) and ``bigrams`` (key, c, d), their frequent parts and its totals."""
+    """A fitted model: tables ``pairs`` (v, w, c) and ``words`` (code, c, lp, la, lt), their frequent parts and its totals."""
 
-    def __init__(self, spark: SparkSession, train: DataFrame, sc: Scratch, min_count: int = 2) -> None:
+    def __init__(self, spark: SparkSession, train: DataFrame, sc: Scratch) -> None:
+        self.sc = sc
         counts = sc.save(vocabulary.word_counts(train), "counts")
-        docs = train.count()
-        top, of_top, low_word = vocabulary.frequent(counts, "w", WORDS)
-        self.top, self.docs = top, docs
+        sc.tidy()
+        self.docs = docs = train.count()
+        self.top, self.top_c, low_word = vocabulary.frequent(counts, "w", WORDS)
+        top, top_c = self.top, self.top_c
         row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = row["n"] + docs, row["v"] + (docs > 0)
         few = {r["c"]: r["k"] for r in counts.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("k")).collect()}
@@ -130,109 +165,97 @@ class Model:
             few[docs] = few.get(docs, 0) + 1
         d1 = discounts(few)
         lost = sum(r * few.get(r, 0) * (1 - d1[r]) for r in range(1, K + 1))
-        whole = self.n if lost > 0 else self.n + 1
+        whole = float(self.n if lost > 0 else self.n + 1)
         prob = lambda c: d1[np.minimum(c, K + 1)] * c / whole
         self.unknown = (whole - self.n + lost) / whole if self.n else 1.0
         self.base0 = -np.log10(self.n + self.v + 1)
-        self.end = prob(np.array([docs]))[0] if docs else self.unknown
-        end_c = docs
+        end = prob(np.array([docs]))[0] if docs else self.unknown
 
-        pairs = sc.save(bigram_counts(train, top, min_count), "pairs")
+        pairs = sc.save(bigram_counts(train, top, top_c, docs), "pairs")
+        sc.tidy()
         n2 = {r["v"]: r["n"] for r in pairs.filter("kind = 1").groupBy("v").agg(F.sum("c").alias("n")).collect()}
-        d2 = discounts(n2, min_count)
-        cold = lambda c: F.col(c) < 0  # noqa: E731  codes of other words have the top bit
-        coded = counts.select(F.shiftrightunsigned("w", 1).bitwiseOR(F.lit(-(2**63))).alias("code"), "c")
-
-        def with_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Adds the count of the token: known here for frequent words and the end."""
-            for b in batches:
-                w = textops.unsigned(b.column("w").to_numpy())
-                c = np.zeros(len(w), np.int64)
-                low = w < U(1 << 62)
-                c[low] = of_top[w[low].astype(np.int64)]
-                c[w == END] = end_c
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("w"), b.column("c"), pa.array(c)], names=["v", "w", "c", "cw"])
-
-        kept = pairs.filter("kind = 0").select("v", "w", "c").mapInArrow(with_word, "v long, w long, c long, cw long")
-        other = kept.filter(cold("w")).drop("cw").join(coded.select(F.col("code").alias("w"), F.col("c").alias("cw")), "w").select("v", "w", "c", "cw")
-        kept = sc.save(kept.filter(~cold("w")).unionByName(other), "kept")
-        sc.drop("pairs")
-        # what each history's seen words take, of its own mass and of the unigrams'
+        self.d2 = d2 = discounts(n2)
+        self.pairs = pairs = pairs.filter("kind = 0")
+        coded = counts.filter(F.col("c") < low_word).select(F.shiftrightunsigned("w", 1).bitwiseOR(F.lit(-(2**63))).alias("code"), "c")
         share = lambda d, c: F.get(F.array(*[F.lit(float(x)) for x in d]), F.least(F.col(c), F.lit(K + 1)).cast("int")) * F.col(c)
-        hist = kept.groupBy("v").agg(F.sum(share(d2, "c")).alias("s"), F.sum(share(d1, "cw") / F.lit(float(whole))).alias("p"))
 
-        def with_history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What each history's seen words take: of its own mass (s of n) and of the frequent words' (p)."""
             for b in batches:
-                v = textops.unsigned(b.column("v").to_numpy())
-                c = np.zeros(len(v), np.int64)
-                low = v < U(1 << 62)
-                c[low] = of_top[v[low].astype(np.int64)]
-                c[v == START] = end_c
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("s"), b.column("p"), pa.array(c)], names=["v", "s", "p", "cv"])
-
-        hist = hist.mapInArrow(with_history, "v long, s double, p double, cv long")
-        other = hist.filter(cold("v")).drop("cv").join(coded.select(F.col("code").alias("v"), F.col("c").alias("cv")), "v").select("v", "s", "p", "cv")
-        hist = hist.filter(~cold("v")).unionByName(other)
+                if not len(b):
+                    continue
+                v, w, c = textops.unsigned(b.column("v").to_numpy()), textops.unsigned(b.column("w").to_numpy()), b.column("c").to_numpy()
+                p, low = np.zeros(len(v)), w < START
+                p[low], p[w == END] = prob(top_c[w[low].astype(np.int64)]), end
+                at = _runs(v)
+                got = [np.add.reduceat(x, at) for x in (d2[np.minimum(c, K + 1)] * c, p, c)]
+                yield pa.RecordBatch.from_arrays([pa.array(textops.signed(v[at])), *map(pa.array, got)], names=["v", "s", "p", "n"])
+
+        zero = F.lit(0.0)
+        other = pairs.filter("w < 0").join(coded.withColumnRenamed("c", "cw"), F.col("w") == F.col("code"))
+        other = other.select("v", zero.alias("s"), (share(d1, "cw") / F.lit(whole)).alias("p"), F.lit(0).cast("long").alias("n"))
+        hist = pairs.select("v", "w", "c").mapInArrow(sums, "v long, s double, p double, n long").unionByName(other)
+        hist = hist.groupBy("v").agg(*[F.sum(x).alias(x) for x in ("s", "p", "n")])
         # a history without discounted counts would leave nothing: its total grows by one
-        of = F.when(F.col("s") >= F.col("cv") * (1 - 1e-12), F.col("cv") + 1.0).otherwise(F.col("cv").cast("double"))
-        hist = hist.withColumn("of", of).select("v", F.log10((1 - F.col("s") / F.col("of")) / F.greatest(F.lit(1e-12), 1 - F.col("p"))).alias("la"), F.log10("of").alias("lc"))
+        total = F.when(F.col("s") >= F.col("n") * (1 - 1e-12), F.col("n") + 1.0).otherwise(F.col("n").cast("double"))
+        hist = hist.withColumn("t", total).select("v", F.log10((1 - F.col("s") / F.col("t")) / F.greatest(F.lit(1e-12), 1 - F.col("p"))).alias("la"), F.log10("t").alias("lt"))
         hist = sc.save(hist, "histories")
         rows = hist.filter("v >= 0").toArrow()  # frequent words and the start: bounded
-        code, lead_a, lead_c = textops.unsigned(rows["v"].to_numpy().astype(np.int64)), rows["la"].to_numpy(), rows["lc"].to_numpy()
-        la, lc = np.zeros(len(top)), np.zeros(len(top))
-        low = code < U(1 << 62)
-        la[code[low].astype(np.int64)], lc[code[low].astype(np.int64)] = lead_a[low], lead_c[low]
-        at = np.flatnonzero(code == START)
-        start = (float(lead_a[at[0]]), float(lead_c[at[0]])) if len(at) else (0.0, 0.0)
-        self.start = start[0]
-        self.top_c, self.top_lp, self.top_la = of_top, np.log10(prob(of_top)) if len(top) else np.zeros(0), la
-
-        def with_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = textops.unsigned(b.column("v").to_numpy())
-                low, a, c = v < U(1 << 62), np.zeros(len(v)), np.zeros(len(v))
-                a[low], c[low] = la[v[low].astype(np.int64)], lc[v[low].astype(np.int64)]
-                a[v == START], c[v == START] = start
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a), pa.array(c)], names=["v", "w", "c", "cw", "la", "lc"])
+        code, la, lt = textops.unsigned(rows["v"].to_numpy().astype(np.int64)), rows["la"].to_numpy(), rows["lt"].to_numpy()
+        #: By frequent word, then the start: log alpha, log total. By frequent word, then the end: log P.
+        self.la, self.lt = np.zeros(len(top) + 1), np.zeros(len(top) + 1)
+        at = np.where(code == START, U(len(top)), code).astype(np.int64)
+        self.la[at], self.lt[at] = la, lt
+        self.lp = np.log10(np.append(prob(top_c), end))
+        lp = F.log10(share(d1, "c") / F.lit(whole))
+        words = coded.join(hist.select(F.col("v").alias("code"), "la", "lt"), "code", "left")
+        self.words = sc.save(words.select("code", "c", lp.alias("lp"), F.coalesce("la", zero).alias("la"), F.coalesce("lt", zero).alias("lt")), "words")
+        sc.tidy("histories", "counts")
+        # bigrams of frequent words only are sent to the tasks
+        known = pairs.filter("v >= 0 and w >= 0")
+        low_pair = vocabulary.level(known, BIGRAMS)
+        rows = known.filter(F.col("c") >= low_pair).select("v", "w", "c").toArrow()
+        key = pair_key(*(textops.unsigned(rows[x].to_numpy().astype(np.int64)) for x in ("v", "w")))
+        c = rows["c"].to_numpy()[np.argsort(key)].astype(np.int64)
+        self.pair_keys, self.pair_y = np.sort(key), np.log10(d2[np.minimum(c, K + 1)] * c)
+        self.rest = pairs.filter((F.col("c") < low_pair) | (F.col("v") < 0) | (F.col("w") < 0))
+        self.many_words = filters.build(self.words.filter("c > 1"), "code")
+        self.many_pairs = filters.build(_keys(self.rest.filter("c > 1")), "key", 27)
 
-        lead = kept.mapInArrow(with_lead, "v long, w long, c long, cw long, la double, lc double")
-        other = lead.filter(cold("v")).drop("la", "lc").join(hist, "v").select("v", "w", "c", "cw", "la", "lc")
-        lead = lead.filter(~cold("v")).unionByName(other)
+    def score(self, docs: DataFrame) -> DataFrame:
+        """``docs`` (doc_id, held_out, text) as (doc_id, held_out, n_tokens, n_known, base_score, score). Rows that are not held out
+        must be those that the model was fitted on."""
+        m, n_parts = self, exchange.parts(docs)
+        top, d2, la, lt, lp, pair_keys, pair_y = m.top, m.d2, m.la, m.lt, m.lp, m.pair_keys, m.pair_y
+        base, base0, once = np.log10(m.top_c + 1.0) + m.base0, m.base0, np.log10(d2[1])
+        end_base, end_known = np.log10(m.docs + 1.0) + base0, m.docs > 0
+        many_words, many_pairs = m.many_words, m.many_pairs
+
+        def asked_pairs(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for _, _, buf, off in textops.chunks(b.column(0)):
+                v, w, _ = tokens(buf, off, top)
+                key = pair_key(v, w)
+                yield np.unique(key[textops.lookup(key, pair_keys) < 0])
 
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                v, w = (textops.unsigned(b.column(x).to_numpy()) for x in ("v", "w"))
-                c, cw, a, l = (b.column(x).to_numpy() for x in ("c", "cw", "la", "lc"))
-                d = np.log10(d2[np.minimum(c, K + 1)] * c) - l - a - np.log10(prob(cw))
-                yield pa.RecordBatch.from_arrays([pa.array(textops.signed(pair_key(v, w))), pa.array(c), pa.array(d)], names=["key", "c", "d"])
-
-        self.bigrams = sc.save(lead.mapInArrow(keyed, "key long, c long, d double"), "bigrams")
-        sc.drop("kept")
-        self.pair_keys, _, self.pair_d, low_pair = vocabulary.frequent(self.bigrams, "key", BIGRAMS, more="d")
-        self.rare_bigrams = self.bigrams.filter(F.col("c") < low_pair)
-        lp = F.log10(share(d1, "c") / F.lit(float(whole)))
-        rare = counts.filter(F.col("c") < low_word).select(F.shiftrightunsigned("w", 1).bitwiseOR(F.lit(-(2**63))).alias("code"), "c", lp.alias("lp"))
-        self.words = sc.save(rare.join(hist.select(F.col("v").alias("code"), "la"), "code", "left").select("code", "c", "lp", F.coalesce("la", F.lit(0.0)).alias("la")), "words")
-        sc.drop("histories")
-        sc.drop("counts")
-        self.rare_words = filters.build(self.words, "code")
-        self.rare_pairs = filters.build(self.rare_bigrams, "key")
+                for key in asked_pairs(b):
+                    yield pa.RecordBatch.from_arrays([pa.array(textops.signed(key))], names=["key"])
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (doc_id, held_out, text) as (doc_id, held_out, n_tokens, n_known, base_score, score)."""
-        m, n_parts = self, exchange.parts(docs)
-        top, top_c, single, pair_keys, pair_d = m.top, m.top_c, m.top_lp + m.top_la, m.pair_keys, m.pair_d
-        base, base0, lu, start, end = np.log10(m.top_c + 1.0) + m.base0, m.base0, np.log10(m.unknown), m.start, np.log10(m.end)
-        end_base, end_known = (np.log10(m.docs + 1.0) + base0, 1) if m.docs else (base0, 0)
-        rare_words, rare_pairs = m.rare_words, m.rare_pairs
-        kinds = [np.uint8, np.uint64, np.int64, np.float64, np.float64, np.int64, np.int64, np.int64, np.uint8]
-
-        def columns(kind: int, key, *values):
-            """Records of one kind: 0 text, 1 rare word of a text, 2 rare pair of a text, 3 entry of words, 4 entry of bigrams; of
-            each kind row, two numbers, known, tokens, doc_id and flags, or fewer of these."""
-            k = len(key)
-            more = [np.asarray(v, t) for v, t in zip(values, kinds[2:])] + [np.zeros(k, t) for t in kinds[2 + len(values) :]]
-            return (key % U(n_parts)).astype(np.int32), [np.full(k, kind, np.uint8), key, *more]
+        # bigrams seen once matter to held-out texts only
+        wanted = m.sc.save(docs.filter("held_out").select("text").mapInArrow(asking, "key long"), "wanted")
+        wanted_pairs = filters.build(wanted, "key", 27)
+        m.sc.tidy("wanted")
+        slot = lambda v: np.where(v >= START, U(len(top)), v).astype(np.int64)
+
+        #: Kinds of records: 0-3 text, 4 rare word and 5 bigram of a fitted text, 6 rare word and 7 bigram of a held-out text, 8 entry of
+        #: words, 9 entry of bigrams. Columns: kind, key, row, two numbers or codes, two values.
+        kinds = [np.uint8, np.uint64, np.int64, np.uint64, np.uint64, np.float64, np.float64]
+
+        def columns(kind, key, *values):
+            n = len(key)
+            more = [np.asarray(v).astype(t) for v, t in zip(values, kinds[2:])] + [np.zeros(n, t) for t in kinds[2 + len(values) :]]
+            return (key % U(n_parts)).astype(np.int32), [np.full(n, kind, np.uint8) if np.isscalar(kind) else kind.astype(np.uint8), key, *more]
 
         def texts(batches):
             first = TaskContext.get().partitionId() << 36
@@ -241,70 +264,109 @@ class Model:
                 doc, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
                 for i, j, buf, off in textops.chunks(b.column(2)):
                     v, w, t = tokens(buf, off, top)
-                    low, word = w < U(1 << 62), w != END
+                    new, rare, low = held[i:j][t], w >= RARE, w < START
+                    g, s, known = np.full(len(w), base0), np.zeros(len(w)), ~new
                     at = w[low].astype(np.int64)
-                    s, g = np.full(len(w), lu), np.full(len(w), base0)
-                    s[low], g[low], s[~word], g[~word] = single[at], base[at], end, end_base
-                    hit = textops.lookup(key := pair_key(v, w), pair_keys)
-                    s[hit >= 0] += pair_d[hit[hit >= 0]]
-                    known = np.bincount(t[low], minlength=j - i) + end_known
+                    g[low], g[w == END], known[low] = base[at], end_base, True
+                    known[w == END] = end_known
+                    key = pair_key(v, w)
+                    hit = textops.lookup(key, pair_keys)
+                    s[hit >= 0] = pair_y[hit[hit >= 0]]
+                    s[(hit < 0) & ~new] = once
+                    have = (v < RARE) & ((hit >= 0) | ~new)
+                    s[have] -= lt[slot(v[have])]
+                    word = np.flatnonzero(rare & ~new)
+                    many = filters.has(textops.signed(w[word]), many_words)
+                    g[word[~many]] += np.log10(2.0)  # seen once; the log of its total is 0
                     rows = first + np.arange(j - i)
                     first += j - i
-                    yield columns(0, textops.mix(rows.astype(np.uint64)), rows, np.bincount(t, g, j - i), np.bincount(t, s, j - i) + start, known, np.bincount(t, minlength=j - i), doc[i:j], held[i:j] + 2 * null[i:j])
-                    far = np.flatnonzero(word & ~low)
-                    far = far[filters.has(textops.signed(w[far]), rare_words)]
-                    yield columns(1, w[far], rows[t[far]])
-                    far = np.flatnonzero(hit < 0)
-                    far = far[filters.has(textops.signed(key[far]), rare_pairs)]
-                    yield columns(2, key[far], rows[t[far]])
-
-        def entries(kind):
-            def run(batches):
-                def records():
-                    for b in batches:
-                        k = textops.unsigned(b.column(0).to_numpy())
-                        if kind == 3:
-                            c, lp, la = (b.column(x).to_numpy() for x in (1, 2, 3))
-                            yield columns(3, k, np.zeros(len(k)), np.log10(c + 1.0) + base0, lp + la)
-                        else:
-                            yield columns(4, k, np.zeros(len(k)), np.zeros(len(k)), b.column(1).to_numpy())
-
-                return exchange.scatter(records(), RECORDS)
-
-            return run
+                    count = lambda x, size=j - i: np.bincount(x, minlength=size)
+                    pack = (count(t).astype(np.uint64) << U(32)) | count(t[known]).astype(np.uint64)
+                    yield columns(held[i:j] + 2 * null[i:j], textops.mix(rows.astype(np.uint64)), rows, textops.unsigned(doc[i:j].astype(np.int64)), pack, np.bincount(t, g, j - i), np.bincount(t, s, j - i))
+                    word = word[many]
+                    yield columns(4, w[word], rows[t[word]])
+                    word = np.flatnonzero(rare & new)
+                    yield columns(6, w[word], rows[t[word]])
+                    far = np.flatnonzero((hit < 0) & ~new)
+                    far = far[filters.has(textops.signed(key[far]), many_pairs)]
+                    yield columns(5, key[far], rows[t[far]])
+                    far = np.flatnonzero((hit < 0) & new)
+                    yield columns(7, key[far], rows[t[far]], v[far], w[far])
+
+        def word_entries(batches):
+            for b in batches:
+                k = textops.unsigned(b.column(0).to_numpy())
+                zero = np.zeros(len(k))
+                yield columns(8, k, zero, zero, zero, np.log10(b.column(1).to_numpy() + 1.0), b.column(2).to_numpy())
+
+        def pair_entries(batches):
+            for b in batches:
+                v, w = (textops.unsigned(b.column(x).to_numpy()) for x in ("v", "w"))
+                key, c = pair_key(v, w), b.column("c").to_numpy()
+                ok = (c > 1) | filters.has(textops.signed(key), wanted_pairs)
+                yield columns(9, key[ok], np.zeros(ok.sum()), np.zeros(ok.sum()), np.zeros(ok.sum()), np.log10(d2[np.minimum(c[ok], K + 1)] * c[ok]))
+
+        def answers(kind, key, row, a, b, x, y) -> Iterator[list]:
+            """Columns row, flags, doc, numbers, known, base, score, code, role, of each kind of record; None for nulls."""
+            text = kind < 4
+            if text.any():
+                yield [row[text], kind[text].astype(np.int32), textops.signed(a[text]), textops.signed(b[text] >> U(32)), textops.signed(b[text] & U(0xFFFFFFFF)), x[text], y[text], None, None]
+            for ask in (4, 5, 6, 7):
+                q = np.flatnonzero(kind == ask)
+                e = np.flatnonzero(kind == (8 if ask in (4, 6) else 9))
+                e = e[np.argsort(key[e])]
+                at = textops.lookup(key[q], key[e])
+                has = at >= 0
+                q_in, e_in = q[has], e[at[has]]
+                if ask in (4, 6):
+                    r, n, gain, value = row[q_in], has[has] * (ask == 6), x[e_in], -y[e_in] * (ask == 4)
+                elif ask == 5:
+                    r, n, gain, value = row[q_in], np.zeros(len(q_in)), np.zeros(len(q_in)), x[e_in] - once
+                else:
+                    r, v, w, n, gain, value = row[q], a[q], b[q], np.zeros(len(q)), np.zeros(len(q)), np.zeros(len(q))
+                    value[has] = x[e_in]
+                    low = v < RARE
+                    value[low & has] -= lt[slot(v[low & has])]
+                    value[low & ~has] += la[slot(v[low & ~has])]
+                    back = ~has & (w < RARE)
+                    value[back] += lp[slot(w[back])]
+                    for role, of, some in ((0, v, ~low & has), (1, v, ~low & ~has), (2, w, ~has & (w >= RARE))):
+                        if some.any():
+                            yield [r[some], None, None, None, None, None, None, textops.signed(of[some]), np.full(some.sum(), role, np.int32)]
+                u, inv = np.unique(r, return_inverse=True)
+                if len(u):
+                    yield [u, None, None, None, *(np.bincount(inv, z, len(u)) for z in (n, gain, value)), None, None]
+
+        names, types = ["row", "flags", "doc_id", "n_tokens", "n_known", "base_score", "score", "code", "role"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, (kind, key, row, x, y, known, n, doc, flags) in exchange.gather(batches, kinds):
-                for ask, entry in ((1, 3), (2, 4)):
-                    e, a = np.flatnonzero(kind == entry), np.flatnonzero(kind == ask)
-                    e = e[np.argsort(key[e])]
-                    at = textops.lookup(key[a], key[e])
-                    a, e = a[at >= 0], e[at[at >= 0]]
-                    u, inv = np.unique(row[a], return_inverse=True)
-                    k = len(u)
-                    if not k:
-                        continue
-                    gain = (x[e] - base0, y[e] - lu) if ask == 1 else (0 * y[e], y[e])
-                    found = np.bincount(inv, minlength=k) * (ask == 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(found.astype(np.int64)), *(pa.array(np.bincount(inv, z, k)) for z in gain)], names=names)
-                t = kind == 0
-                yield pa.RecordBatch.from_arrays([pa.array(z[t]) for z in (row, doc, n)] + [pa.array(flags[t].astype(np.int32))] + [pa.array(z[t]) for z in (known, x, y)], names=names)
-
-        names = ["row", "doc_id", "n_tokens", "flags", "n_known", "base_score", "score"]
-        asked = docs.select("doc_id", "held_out", "text").mapInArrow(lambda it: exchange.scatter(texts(it), RECORDS), exchange.SCHEMA)
-        words = m.words.select("code", "c", "lp", "la").mapInArrow(entries(3), exchange.SCHEMA)
-        pairs = m.rare_bigrams.select("key", "d").mapInArrow(entries(4), exchange.SCHEMA)
-        got = exchange.shuffled(asked.unionByName(words).unionByName(pairs)).mapInArrow(meet, "row long, doc_id long, n_tokens long, flags int, n_known long, base_score double, score double")
-        got = got.groupBy("row").agg(*[F.max(c).alias(c) for c in names[1:4]], *[F.sum(c).alias(c) for c in names[4:]])
+            for _, cols in exchange.gather(batches, kinds, 1, n_parts):
+                for out in answers(*cols):
+                    n = len(out[0])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if z is None else pa.array(np.asarray(z).astype(k.to_pandas_dtype())) for z, k in zip(out, types)], names=names)
+
+        send = lambda df, of: df.mapInArrow(lambda it: exchange.scatter(of(it)), exchange.SCHEMA)
+        asks = send(docs.select("doc_id", "held_out", "text"), texts)
+        words, pairs = send(m.words.select("code", "c", "lt"), word_entries), send(m.rest.select("v", "w", "c"), pair_entries)
+        schema = "row long, flags int, doc_id long, n_tokens long, n_known long, base_score double, score double, code long, role int"
+        met = m.sc.save(exchange.shuffled(asks.unionByName(words).unionByName(pairs)).mapInArrow(meet, schema), "met")
+        m.sc.tidy("pairs")
+        # rare words of held-out texts: 0 history of a seen bigram, 1 history backed off from, 2 word backed off to
+        lacking = F.lit(float(np.log10(m.unknown)))
+        roles = met.filter("role is not null").groupBy("row", "code", "role").agg(F.count("*").alias("n")).join(m.words.select("code", "lp", F.col("la").alias("_la"), "lt"), "code", "left")
+        value = F.when(F.col("role") == 0, -F.coalesce("lt", F.lit(0.0))).when(F.col("role") == 1, F.coalesce("_la", F.lit(0.0))).otherwise(F.coalesce("lp", lacking))
+        roles = roles.select("row", *[F.lit(None).alias(c) for c in names[1:6]], (F.col("n") * value).alias("score"))
+        got = met.filter("role is null").select(*names[:7]).unionByName(roles)
+        got = got.groupBy("row").agg(*[F.max(c).alias(c) for c in names[1:4]], *[F.sum(c).alias(c) for c in names[4:7]])
         return got.select(
             F.when(F.col("flags") < 2, F.col("doc_id")).alias("doc_id"), (F.col("flags") % 2 == 1).alias("held_out"), "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), "base_score", "score"
         )
 
 
-def katz_scores(spark: SparkSession, docs: DataFrame, min_count: int = 2) -> DataFrame:
+def katz_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trains on the rows that are not held out. Null and empty texts are their end alone; repeated rows count each;
     without training rows every word is the unknown one; an empty table gives an empty one."""
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return Model(spark, rows.filter("not held_out").select("text"), Scratch(spark, "katz"), min_count).score(rows)
+    return Model(spark, rows.filter("not held_out").select("text"), Scratch(spark, "katz")).score(rows)
