@@ -66,18 +66,20 @@ def registers(g: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, f1, f2, sketch): set size, 128-bit fingerprint of the set, registers as bytes (null for an empty set)."""
+    """(doc_id, th, n, f1, f2, sketch): hash of the text, set size, 128-bit fingerprint of the set, registers as bytes (null for an
+    empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, off in textops.chunks(b.column(1)):
+            for i, j, buf, off in textops.chunks(b.column(2)):
                 g, cut = textops.shingle_sets(*textops.words(buf, off), shingle)
                 n, regs = np.diff(cut), registers(g, cut)
                 f1, f2 = textops.sums(textops.mix(g ^ U(0x1234567)), cut), textops.sums(textops.mix(g + U(0x9E3779B97F4A7C15)), cut)
                 sk = pa.array([regs[k].tobytes() if n[k] else None for k in range(j - i)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(textops.signed(f1)), pa.array(textops.signed(f2)), sk], names=["doc_id", "n", "f1", "f2", "sketch"])
+                own = [b.column(c).slice(i, j - i) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(textops.signed(f1)), pa.array(textops.signed(f2)), sk], names=["doc_id", "th", "n", "f1", "f2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, sketch binary")
 
 
 def _stack(col: pa.Array) -> np.ndarray:
@@ -252,24 +254,36 @@ def _delegates(at: DataFrame, salts: int = 2) -> DataFrame:
     return both.select(F.explode(F.array(*[pair(s) for s in range(salts)])).alias("x")).select("x.*").distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row a document (doc_id, text): doc_id, n_shingles, component_id and kept (the component's smallest id).
+def near_duplicates(
+    spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), among: DataFrame | None = None
+) -> DataFrame:
+    """One row a row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept (the component's smallest id).
+    ``among`` (doc_id): only rows with one of these ids take part and are returned.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows of one id are one document.
-    A null id is linked with nothing, has no component and is kept. An empty table gives an empty one."""
+    Null, empty and blank texts have no shingles and are linked with nothing. Rows of one id are one document, which has, of
+    different texts, the one with the smallest hash. A null id is linked with nothing, has no component and is kept. An
+    empty table gives an empty one."""
     sc = Scratch(spark, "minhash")
-    sk = sc.save(sketches(docs, shingle), "sketches")
-    full = sk.filter("n > 0 and doc_id is not null")
-    reps = sc.save(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    nodes = full.join(reps.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
+    sk = sketches(docs, shingle)
+    if among is not None:
+        sk = sk.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+    sk = sc.save(sk, "sketches")
+    ids = sk.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("th", "f1", "f2")).alias("x")).select("doc_id", "x.*")
+    ids = sc.save(ids, "ids")
+    reps = sc.save(ids.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.count("*").alias("copies")).select("f1", "f2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), "copies"), "reps")
+    heads = reps.select(F.col("rep").alias("doc_id"), "th")
+    nodes = sk.join(heads, ["doc_id", "th"], "left_semi").select(F.col("doc_id").alias("id"), "th", "n", "sketch").dropDuplicates(["id"])
     nodes = sc.save(nodes, "nodes")
+    sc.tidy()
     keys = band_keys(nodes)
     groups = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", "lo", "m")
-    rows = sc.save(keys.join(groups, "key"), "buckets")
+    rows = sc.save(keys.join(sc.save(groups, "groups"), "key"), "buckets")
+    sc.tidy("groups")
     tried = sc.save(plausible(rows.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), nodes, threshold), "try_0")
-    same = full.join(reps, ["f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    wanted = filters.build(rows, "id")
-    texts = sc.save(filters.keep(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted).join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    met = sc.save(rows.select("id").distinct().join(nodes.select("id", "th"), "id"), "met")
+    some = filters.keep(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text"), "id", filters.build(met, "id"))
+    texts = sc.save(some.join(met, ["id", "th"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "texts")
+    sc.tidy("met")
     tested = sc.save(confirm(tried, texts, shingle, threshold), "tested_0")
     links = sc.save(tested.filter("linked").select("a", "b"), "links_0")
     comp = sc.save(components(links, sc, "star"), "comp_0")
@@ -278,6 +292,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, thre
     drawn = sc.save(plausible(_delegates(label(comp).filter("m > 2")).join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, threshold), "try_1")
     links = sc.save(links.unionByName(confirm(drawn, texts, shingle, threshold).filter("linked").select("a", "b")), "links_1")
     comp = sc.save(components(links, sc, "drawn"), "comp_1")
+    sc.tidy("try_0", "try_1", "tested_0", "links_0", "comp_0")
     at = sc.save(label(comp).filter("m > 2"), "labelled")
     open_ = filters.build(at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key"), "key")
     # sketch and text join once an id, which is in at most BANDS buckets
@@ -288,12 +303,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, thre
     band = F.pmod(F.col("key"), F.lit(64)).cast("int")
     members = members.select("key", F.least("o", "other").alias("p"), F.greatest("o", "other").alias("q"), side.alias("side"), "id", "c", band.alias("band"), "sketch", "text", F.col("size").alias("n"))
     links = sc.save(links.unionByName(_across(members, threshold, shingle)), "links_2")
-    final = sc.save(components(links.unionByName(same), sc, "final"), "final")
-    out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(final, sk["doc_id"] == final["id"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``docs`` with one document, the smallest id, of each component; all columns stay."""
-    gone = near_duplicates(spark, docs.select("doc_id", "text"), shingle, threshold).filter("not kept").select("doc_id").distinct()
-    return filters.without(docs, "doc_id", Scratch(spark, "near").save(gone, "gone"))
+    sc.tidy("buckets", "labelled", "texts", "nodes", "links_1", "comp_1")
+    # components are those of one document of each set; its copies follow it
+    final = components(links, sc, "final").withColumnRenamed("id", "rep")
+    of_set = sc.save(reps.join(final, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")), "sets")
+    of_doc = sc.save(ids.join(of_set, ["f1", "f2"]).select("doc_id", "component_id"), "documents")
+    sc.tidy("ids", "reps", "links_2", "sets")
+    rows = sk.select("doc_id", F.col("n").alias("n_shingles"))
+    out = rows.filter("doc_id is not null").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.unionByName(rows.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(
+    spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), whole: DataFrame | None = None
+) -> DataFrame:
+    """``docs`` with one document, the smallest id, of each component; all columns stay.
+
+    ``whole`` (doc_id, text): the documents as they were before a stage cut lines out of them. Copies are then judged on
+    these texts first, those of other ids left out, and what stays on its own texts as well: a copy that lost all lines
+    but its altered ones is a copy still."""
+    sc = Scratch(spark, "near")
+    gone = lambda texts, ids: near_duplicates(spark, texts, shingle, threshold, ids).filter("not kept").select("doc_id").distinct()
+    if whole is not None:
+        docs = filters.without(docs, "doc_id", sc.save(gone(whole.select("doc_id", "text"), docs), "copies"))
+    return filters.without(docs, "doc_id", sc.save(gone(docs.select("doc_id", "text"), None), "gone"))
