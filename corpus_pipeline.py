@@ -25,7 +25,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_duplicates(spark, docs)
+    """Copies are judged on the texts of ``documents``, before lines were cut out of them, and on those of ``docs``."""
+    return minhash.drop_near_duplicates(spark, docs, whole=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
