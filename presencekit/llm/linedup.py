@@ -4,12 +4,12 @@ A line is the set of its lower-cased words. Texts are parsed once into a table o
 class, and only a class's first line, by doc_id and line number, enters the join: words are ordered by rarity (words
 outside the bounded frequent table first, then by ascending count), a line is indexed under its rarest
 n - ceil(t * n) + 1 words, and two lines under one word are a candidate if their lengths allow the threshold, the words
-that can follow their places allow it, and the parity signatures of their sets (each word flips one of 64 bits) do not
-differ in more bits than the sets may. All three are exact bounds. Candidates are verified on the words. A line goes if
+that can follow their places allow it, and the parity signatures of their sets (each word flips one of 128 bits, folded to
+64 for short lines) do not differ in more bits than the sets may. All three are exact bounds. Candidates are verified on the words. A line goes if
 an earlier one has Jaccard of at least the threshold with it, whether or not that one stays itself; so all but the first
 line of a class go, and the first goes if it is similar to the first of an earlier class.
 
-A line needs one match, so each word's list gives a line its earliest few candidates only. Lines that these do not decide
+A line needs one match, so each word's list gives a line its nearest few candidates only. Lines that these do not decide
 are given the next ones, more each round, until every line is decided or has seen all its candidates. Lists too long
 for one task are dealt out in pairs of blocks.
 """
@@ -30,7 +30,9 @@ U = np.uint64
 #: Entries of the frequent-word table, lines of one block of a long list.
 FREQUENT, BLOCK = 1 << 17, 8192
 #: Candidates that a list has given a line after each round; in the last, all.
-ROUNDS = (2, 8, 64, None)
+ROUNDS = (1, 16, None)
+#: Words from which a line has a signature of 128 bits.
+WIDE = 64
 RARE = U(1 << 63)
 
 
@@ -64,7 +66,10 @@ class Lines:
         self.row, self.number = row[k][first], number[k][first]
         m = textops.mix(self.h ^ U(0xA5A5A5A5))
         self.f = textops.mix(textops.sums(m, self.cut)) if len(k) else np.zeros(0, np.uint64)
-        self.parity = np.bitwise_xor.reduceat(U(1) << (m & U(63)), first) if len(k) else np.zeros(0, np.uint64)
+        bit, none = U(1) << (m & U(63)), np.zeros(0, np.uint64)
+        self.parity = np.bitwise_xor.reduceat(bit, first) if len(k) else none
+        self.upper = np.bitwise_xor.reduceat(np.where(m & U(64), bit, U(0)), first) if len(k) else none  # its part from the upper 64 of 128
+        self.upper[self.n < WIDE] = 0
 
     def leads(self) -> np.ndarray:
         """Whether each line is the first of its set in its text."""
@@ -88,14 +93,23 @@ def _cells(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-TABLE = "th long, doc_id long, line int, lead boolean, f long, n int, parity long, rare binary, common binary"
+TABLE = "th long, doc_id long, line int, lead boolean, f long, n int, parity long, upper long, rare binary, common binary, hot array<int>"
 
 
-def parse(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], threshold: tuple[int, int]) -> DataFrame:
-    """A row a line with words: th (hash of the text), doc_id, line, lead (first of its set in its text), f, n, parity, and for
-    lines that can be similar to another set the hashes of words outside the frequent table and the ranks of the others."""
+def prefix(n: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """How many words a set of n is indexed under."""
     num, den = threshold
-    words, rank = order
+    return np.where(n > 0, n + (-num * n) // den + 1, 0)  # n - ceil(num * n / den) + 1
+
+
+def parse(docs: DataFrame, order: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: tuple[int, int]) -> DataFrame:
+    """A row a line with words: th (hash of the text), doc_id, line, lead (first of its set in its text), f, n, parity, upper, and for
+    lines that can be similar to another set the hashes of words outside the frequent table, the ranks of the others and, of
+    the words that it is indexed under, those with more than ``BLOCK`` occurrences."""
+    num, den = threshold
+    words, rank, counts = order
+    often = np.zeros(len(rank), bool)
+    often[rank.astype(np.int64)] = counts > BLOCK
     names = [x.split()[0] for x in TABLE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +122,15 @@ def parse(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], threshold: tupl
                 line, rare = np.repeat(np.arange(len(x.n)), x.n), x.rank < 0
                 of = lambda some: np.bincount(line[some], minlength=len(x.n))  # noqa: E731, B023
                 at = pa.array(i + x.row)
+                hot = kept & ~rare
+                hot[hot] = often[x.rank[hot]]
+                hot &= np.arange(len(line)) - np.repeat(x.cut[:-1], x.n) < np.repeat(prefix(x.n, threshold), x.n)
+                ends = pa.array(np.concatenate([[0], np.cumsum(of(hot))]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         th.take(at), ids.take(at), pa.array(x.number.astype(np.int32)), pa.array(lead), pa.array(textops.signed(x.f)), pa.array(x.n.astype(np.int32)),
-                        pa.array(textops.signed(x.parity)), _cells(x.h[kept & rare], of(kept & rare)), _cells(x.rank[kept & ~rare].astype(np.uint32), of(kept & ~rare)),
+                        pa.array(textops.signed(x.parity)), pa.array(textops.signed(x.upper)), _cells(x.h[kept & rare], of(kept & rare)), _cells(x.rank[kept & ~rare].astype(np.uint32), of(kept & ~rare)),
+                        pa.ListArray.from_arrays(ends, pa.array(x.rank[hot], pa.int32())),
                     ],
                     names=names,
                 )
@@ -153,7 +172,7 @@ class Firsts:
     """The first lines of all classes: the rows of the table of lines that the filter ``gone`` clears of being copies, and, joined
     exactly, those that it doesn't."""
 
-    COLUMNS = ["doc_id", "line", "lead", "f", "n", "parity", "rare", "common"]
+    COLUMNS = ["doc_id", "line", "lead", "f", "n", "parity", "upper", "rare", "common"]
 
     def __init__(self, table: DataFrame, copies: DataFrame, sc: Scratch) -> None:
         self.table, self.gone = table.select(self.COLUMNS), filters.build(_ids(copies), "id")
@@ -177,47 +196,37 @@ class Firsts:
 
 def _prefix(b: pa.RecordBatch, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, code, place) of every word that a line of the batch is indexed under."""
-    num, den = threshold
     codes, cut = _codes(b)
     n = np.diff(cut)
-    p = np.where(n > 0, n + (-num * n) // den + 1, 0)  # n - ceil(num * n / den) + 1
+    p = prefix(n, threshold)
     line = np.repeat(np.arange(len(n)), p)
     place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
     return line, codes[cut[:-1][line] + place], place
 
 
-def long_lists(firsts: Firsts, threshold: tuple[int, int]) -> np.ndarray:
+def long_lists(table: DataFrame) -> np.ndarray:
     """Blocks of the list of each frequent word, by rank. Lists of other words are shorter than those of all frequent ones may be."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(FREQUENT, np.int64)
-        for b in batches:
-            _, code, _ = _prefix(b, threshold)
-            n += np.bincount(code[code < RARE].astype(np.int64), minlength=FREQUENT)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["rank", "n"])
-
-    counts = firsts.map(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+    lines = table.filter("lead and doc_id is not null and size(hot) > 0").select("f", F.explode("hot").alias("rank")).distinct()
     out = np.ones(FREQUENT, np.int64)
-    for r in counts.filter(F.col("n") > BLOCK).toLocalIterator():  # at most an entry of the frequent table each
+    for r in lines.groupBy("rank").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).toLocalIterator():  # at most an entry of the frequent table each
         out[r["rank"]] = -(-r["n"] // BLOCK)
     return out
 
 
-#: Index entries: list key, doc, line, parity, n, place, side.
-KINDS = [np.uint32, np.int64, np.int32, np.uint64, np.int32, np.int32, np.int8]
+#: Index entries: list key, doc, line, parity, upper, n, place, side.
+KINDS = [np.uint32, np.int64, np.int32, np.uint64, np.uint64, np.int32, np.int32, np.int8]
 
 
-def lists(firsts: Firsts, threshold: tuple[int, int], many: np.ndarray) -> DataFrame:
+def lists(table: DataFrame, firsts: Firsts, threshold: tuple[int, int], many: np.ndarray) -> DataFrame:
     """(data): whole lists of index entries, in order of list, document and line, many lists to a row.
 
     Lists are keyed by 32 bits beside the part's number: two that share a key only bring more candidates. Words that
     occur once (not in the filter ``many``) have no list."""
-    blocks, n_parts = long_lists(firsts, threshold), exchange.parts(firsts.table)
+    blocks, n_parts = long_lists(table), exchange.parts(table)
 
     def records(batches):
         for b in batches:
-            doc, number, parity, n = (b.column(c).to_numpy() for c in ("doc_id", "line", "parity", "n"))
+            doc, number, parity, upper, n = (b.column(c).to_numpy() for c in ("doc_id", "line", "parity", "upper", "n"))
             for i in range(0, len(b), 8192):
                 line, code, place = _prefix(b.slice(i, 8192), threshold)
                 ok = (code < RARE) | filters.has(textops.signed(code | RARE), many)
@@ -233,7 +242,7 @@ def lists(firsts: Firsts, threshold: tuple[int, int], many: np.ndarray) -> DataF
                 side = np.where(o == other, 2, np.where(o < other, 0, 1)).astype(np.int8)
                 key = textops.mix(code[k] * U(0x9E3779B97F4A7C15) + (lo * 65537 + hi).astype(np.uint64))
                 line = line[k]
-                cols = [key // U(n_parts), doc[line], number[line], textops.unsigned(parity[line]), n[line], place[k], side]
+                cols = [key // U(n_parts), doc[line], number[line], textops.unsigned(parity[line]), textops.unsigned(upper[line]), n[line], place[k], side]
                 yield (key % U(n_parts)).astype(np.int32), [np.asarray(c).astype(t) for c, t in zip(cols, KINDS)]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +269,12 @@ def line_id(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until: int | None, asked: np.ndarray | None = None) -> DataFrame:
-    """Pairs a before b that pass the filters: of each list those for each b from the ``after``-th on, up to ``until`` (None: all),
-    and whether there are more. ``asked``: only lines b that may be in this filter."""
+    """Pairs a before b that pass the filters: of each list those for each b from the ``after``-th nearest on, up to ``until`` (None:
+    all), and whether there are more. ``asked``: only lines b that may be in this filter."""
     num, den = threshold
 
     def meetings(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, doc, line, parity, n, place, side = cols
+        key, doc, line, parity, upper, n, place, side = cols
         n, place = n.astype(np.int64), place.astype(np.int64)
         start = np.searchsorted(key, key)
         size = np.searchsorted(key, key, side="right") - start
@@ -279,28 +288,36 @@ def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until:
             need = _need(na, nb, num, den)
             ok = (np.minimum(na, nb) >= need) & (np.minimum(na - place[a], nb - place[b]) >= need)
             ok &= ((side[a] == 2) | (side[a] != side[b])) & ((doc[a] != doc[b]) | (line[a] != line[b]))
-            ok[ok] = np.bitwise_count(parity[a[ok]] ^ parity[b[ok]]) <= (na + nb - 2 * need)[ok]
+            x, y, most = a[ok], b[ok], (na + nb - 2 * need)[ok]
+            differ = np.bitwise_count(parity[x] ^ parity[y])
+            wide = (n[x] >= WIDE) & (n[y] >= WIDE)
+            over = upper[x[wide]] ^ upper[y[wide]]
+            differ[wide] = np.bitwise_count(over) + np.bitwise_count(parity[x[wide]] ^ parity[y[wide]] ^ over)
+            ok[ok] = differ <= most
             return ok
 
-        live = np.flatnonzero(wanted & (size <= 256))
+        live, got = np.flatnonzero(wanted & (size <= 256)), np.zeros(len(key), np.int64)
         step = 1
-        while len(live):  # all short lists at once: each entry with the one ``step`` before it
+        while len(live):  # all short lists at once: each entry with the one ``step`` before it, until it has enough
             live = live[rank[live] >= step]
             ok = passes(live - step, live)
             if ok.any():
                 yield live[ok] - step, live[ok]
+                got[live[ok]] += 1
+                if until is not None:
+                    live = live[got[live] <= until]
             step += 1
         for b in np.flatnonzero(wanted & (size > 256)):
-            got, at = 0, start[b]
-            while at < b and (until is None or got <= until):  # in order, a few thousand at a time
-                a = np.arange(at, min(b, at + 4096))
+            at, found = b, 0
+            while at > start[b] and (until is None or found <= until):  # backwards, a few thousand at a time
+                a = np.arange(max(start[b], at - 4096), at)
+                at = a[0]
                 a = a[passes(a, np.full(len(a), b))]
                 if until is not None:
-                    a = a[: until + 1 - got]
+                    a = a[::-1][: until + 1 - found]
                 if len(a):
-                    got += len(a)
+                    found += len(a)
                     yield a, np.full(len(a), b)
-                at += 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +328,7 @@ def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until:
                 if not pairs:
                     continue
                 a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-                o = np.lexsort((a, b))
+                o = np.lexsort((-a, b))
                 a, b = a[o], b[o]
                 place = np.arange(len(b)) - np.searchsorted(b, b)
                 more = np.zeros(len(b), bool)
@@ -371,9 +388,9 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Dat
     return joined.select("f", "doc_b", "line_b", "rare_a", "common_a", "rare_b", "common_b").mapInArrow(run, "f long, doc_b long, line_b int")
 
 
-def similar_lines(firsts: Firsts, many: np.ndarray, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
+def similar_lines(table: DataFrame, firsts: Firsts, many: np.ndarray, sc: Scratch, threshold: tuple[int, int]) -> DataFrame:
     """(f, doc_b, line_b): every line of ``firsts`` with an earlier one within the threshold."""
-    listed = sc.save(lists(firsts, threshold, many), "lists")
+    listed = sc.save(lists(table, firsts, threshold, many), "lists")
     sc.tidy()
     found, after, asked = None, 0, None
     for k, until in enumerate(ROUNDS):
@@ -400,7 +417,7 @@ def lost_lines(docs: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> Data
     rank[np.lexsort((words, c))] = np.arange(len(words), dtype=np.uint64)
     many = filters.build(counts.filter("c > 1").select(F.col("w").bitwiseOR(F.lit(-(2**63))).alias("w")), "w")
     sc.tidy("words")
-    table = sc.save(parse(docs, (words, rank), threshold), "lines")
+    table = sc.save(parse(docs, (words, rank, c), threshold), "lines")
     known = table.filter("lead and doc_id is not null").select("th", "doc_id", "line", "f")
     classes = known.groupBy("f").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("m")).filter("m > 1")
     copied = sc.save(classes.select("f", F.col("at.doc_id").alias("keeper"), F.col("at.line").alias("at_line")), "copied")
@@ -409,7 +426,7 @@ def lost_lines(docs: DataFrame, sc: Scratch, threshold: tuple[int, int]) -> Data
     copies = sc.save(copies.select("th", "doc_id", "line", "f", "keeper"), "copies")
     firsts = Firsts(table, copies, sc)
     sc.tidy("copied")
-    near = sc.save(similar_lines(firsts, many, sc, threshold).select("f").distinct(), "near")
+    near = sc.save(similar_lines(table, firsts, many, sc, threshold).select("f").distinct(), "near")
     sc.tidy("first_of_copies", *[f"good_{k}" for k in range(len(ROUNDS))])
     similar = filters.keep(known, "f", filters.build(near, "f")).join(near, "f")
     lost = copies.filter("doc_id > keeper").select("th", "doc_id", "line").unionByName(similar.select("th", "doc_id", "line"))

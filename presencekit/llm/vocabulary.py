@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import exchange, textops
 
 U = np.uint64
+#: Distinct words that a mapper combines before it emits.
+COMBINE = 400_000
 
 
 def total(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -33,9 +35,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for _, _, buf, off in textops.chunks(b.column(0)):
                     held.append(total(textops.words(buf, off)[0]))
                     n += len(held[-1][0])
-                    if n > exchange.FLUSH:
+                    if n > COMBINE:
                         u, c = total(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-                        if len(u) > exchange.FLUSH // 2:
+                        if len(u) > COMBINE // 2:
                             yield (u % U(n_parts)).astype(np.int32), [u, c.astype(np.uint32)]
                             held, n = [], 0
                         else:
