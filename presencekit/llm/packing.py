@@ -223,7 +223,8 @@ def assign(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     w = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("length", "_part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_base"))
     names = [c for c in pieces.columns if c not in ("_part", "_rank")]
-    joined = pieces.join(base, ["length", "_part"]).select(*names, (F.col("_rank") + F.col("_base")).alias("_at"))
+    # a row for each length and task grows with the input, so the table is never broadcast
+    joined = pieces.join(base.hint("merge"), ["length", "_part"]).select(*names, (F.col("_rank") + F.col("_base")).alias("_at"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
