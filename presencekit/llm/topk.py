@@ -87,7 +87,7 @@ def _index(base: DataFrame, tops: dict[int, float], pivots: dict[int, tuple[np.n
 
 
 def _blocks(keyed: DataFrame, size: int) -> DataFrame:
-    """Annulus blocks of at most ``size`` rows: (dim, pivot, ids, vs, rs)."""
+    """Annulus blocks of at most ``size`` rows: (dim, pivot, r_lo, r_hi, ids, vs, rs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -95,9 +95,12 @@ def _blocks(keyed: DataFrame, size: int) -> DataFrame:
         def out():
             ids, vs, rs = zip(*held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(vs)], pa.binary()), pa.array([np.array(rs, "<f8").tobytes()], pa.binary())],
-                names=["dim", "pivot", "ids", "vs", "rs"],
-            )
+                [
+                    pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([rs[0]]), pa.array([rs[-1]]),
+                    pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(vs)], pa.binary()), pa.array([np.array(rs, "<f8").tobytes()], pa.binary()),
+                ],
+                names=["dim", "pivot", "r_lo", "r_hi", "ids", "vs", "rs"],
+            )
 
         for b in batches:
             for i, d, v, p, r in zip(*(b.column(c).to_pylist() for c in ("vec_id", "dim", "v", "pivot", "r"))):
@@ -110,7 +113,7 @@ def _blocks(keyed: DataFrame, size: int) -> DataFrame:
             yield out()
 
     order = ["dim", "pivot", "r", "vec_id"]
-    return keyed.select("vec_id", "dim", "v", "pivot", "r").repartitionByRange(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "dim int, pivot int, ids binary, vs binary, rs binary")
+    return keyed.select("vec_id", "dim", "v", "pivot", "r").repartitionByRange(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "dim int, pivot int, r_lo double, r_hi double, ids binary, vs binary, rs binary")
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
@@ -137,8 +140,15 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
         first[d] = (m, np.array([r["vec_id"] for r in rows], np.int64))
     blocks = scratch.save(_blocks(_index(base, tops, pivots), BLOCK), "blocks")
 
+    cells = {(r["dim"], r["pivot"]): (r["lo"], r["hi"]) for r in blocks.groupBy("dim", "pivot").agg(F.min("r_lo").alias("lo"), F.max("r_hi").alias("hi")).collect()}  # a row a pivot
+
+    def reach_of(q: np.ndarray, low: np.ndarray, d: int) -> np.ndarray:
+        """How far from a query a vector can be that scores ``low`` at least, with room for rounding."""
+        return np.sqrt(np.maximum(0, (q.astype(np.float64) ** 2).sum(1) + tops[d] - 2.0 * low)) * (1 + 1e-9) + 1e-6
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Query blocks with each query's k-th score among the seeds, one row for each pivot that may hold more."""
+        """Query blocks with each query's k-th score among the seeds: for each pivot whose cell the bounds of any reach, a row with those
+        that do and the range of distances that they reach."""
         for b in batches:
             dims = b.column("dim").to_numpy()
             for d in map(int, np.unique(dims)):
@@ -152,8 +162,19 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
                         s = products(q, m)
                         s[ids[:, None] == mid[None, :]] = -(2**62)
                         low = np.sort(s, axis=1)[:, -k]
-                    for p in range(len(pivots[d][0])):
-                        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([p], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([q.astype("<i8").tobytes()], pa.binary()), pa.array([low.astype("<i8").tobytes()], pa.binary())], names=["dim", "pivot", "q_ids", "q", "low"])
+                    reach = reach_of(q, low, d)
+                    dist = _far(q, np.zeros(len(q)), *pivots[d])
+                    for p in range(dist.shape[1]):
+                        if (d, p) not in cells:
+                            continue
+                        near, far = dist[:, p] - reach, dist[:, p] + reach
+                        live = (near <= cells[d, p][1]) & (far >= cells[d, p][0])
+                        if live.any():
+                            cols = [ids[live].astype("<i8"), q[live].astype("<i8"), low[live].astype("<i8")]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([d], pa.int32()), pa.array([p], pa.int32()), pa.array([near[live].min()]), pa.array([far[live].max()]), *[pa.array([c.tobytes()], pa.binary()) for c in cols]],
+                                names=["dim", "pivot", "near", "far", "q_ids", "q", "low"],
+                            )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +186,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
                 v = v.reshape(len(vid), d)
                 pv, lp = pivots[d]
                 dq = _far(q, np.zeros(len(q)), pv[p : p + 1], lp[p : p + 1])[:, 0]
-                reach = np.sqrt(np.maximum(0, (q.astype(np.float64) ** 2).sum(1) + tops[d] - 2.0 * low)) * (1 + 1e-9) + 1e-6
+                reach = reach_of(q, low, d)
                 live = np.flatnonzero(np.maximum(r[0] - dq, dq - r[-1]) <= reach)
                 if not len(live):
                     continue
@@ -183,7 +204,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
     queries = base.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v")
     # neighbours in the index stay together, so that a block of queries drops whole annuli
     near = _index(queries.withColumn("n2", F.lit(0.0)).select("vec_id", "dim", "v", "n2"), tops, pivots).select("vec_id", "dim", "v", "pivot", "r")
-    asks = scratch.save(near.sort("dim", "pivot", "r").mapInArrow(asked, "dim int, pivot int, q_ids binary, q binary, low binary"), "asks")
-    found = asks.join(blocks, ["dim", "pivot"]).mapInArrow(meet, "query_id long, vec_id long, score long")
+    asks = scratch.save(near.sort("dim", "pivot", "r").mapInArrow(asked, "dim int, pivot int, near double, far double, q_ids binary, q binary, low binary"), "asks")
+    # both sides grow with the input: never broadcast
+    met = asks.join(blocks.hint("merge"), ["dim", "pivot"]).filter("near <= r_hi and far >= r_lo").select("dim", "pivot", "q_ids", "q", "low", "ids", "vs", "rs")
+    found = met.mapInArrow(meet, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
