@@ -1,16 +1,16 @@
 """Operator 2: substring deduplication by sliding sentence spans.
 
-Sentences end at . ! ? before white space and at line ends. From each sentence the span of the fewest following
-sentences with at least ``min_words`` words is hashed, and to each sentence that of the fewest preceding ones, so that a
-repeated passage is covered to both its ends; one sentence is a span only where it alone is that long. A passage may
-start or end inside long sentences: the least of every 22 grams of 30 words is a span too, so that two texts with any 51 equal
-words in a row share one, wherever sentences end. Runs of two sentences are spans that count only where longer ones
-overlap them. Spans are joined globally by hash: the smallest doc_id that holds a span keeps it, and so does its first place
-in a document. Sentences that other occurrences cover whole are removed; a sentence that a passage cuts stays.
+Sentences end at . ! ? before white space and at line ends. Every run of ``RUN`` consecutive sentences is hashed, whatever
+its words, and so is every sentence of 25 words by itself. A passage may start or end inside sentences: the least of every 12 grams of 40 words is a span
+too, so that two texts with any 51 equal words in a row share one, wherever sentences end. Spans are joined globally by
+hash: the smallest doc_id that holds a span keeps it, and so does its first place in a document. All other places repeat it.
+Repeated spans that overlap are one passage; a sentence goes if a passage of at least ``min_words`` words covers it
+whole, and stays where a passage cuts it.
 
 The global table has one (hash, doc_id) row a document and span and is reduced to hashes with more than one
 document by min and max with map-side combining, so a passage that a third of all documents share costs one row a
-task. A fixed-size Bloom filter keeps other rows out of the second join. Texts without a lost span are never shuffled.
+task. A Bloom filter of bounded size keeps other rows out of the second join, both sides of which are split where one hash
+has very many rows. Texts without a lost span are never shuffled.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ _RINV = pow(_R, -1, 1 << 64)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 #: Words of a gram and grams of a window: a run of GRAM + WINDOW - 1 = 51 equal words holds a whole window, whose least gram is hashed.
-GRAM, WINDOW = 30, 22
-#: Sentences and fewest words of the short runs, which only widen what a span of ``min_words`` words has found.
-RUN, RUN_WORDS = 2, 8
+GRAM, WINDOW = 40, 12
+#: Sentences of a run, and words from which one sentence is a span by itself.
+RUN, LONG = 3, 25
 
 
 def _slide(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
@@ -78,13 +78,8 @@ class Sentences:
         self.first = np.searchsorted(words[:-1], w).astype(np.int64)
         k = np.arange(len(ends))
         doc = np.searchsorted(self.first, k, side="right") - 1
-        lo, hi = self.first[doc], self.first[doc + 1]
-        fwd = np.searchsorted(words, words[:-1] + min_words)  # end sentence, exclusive
-        bwd = np.searchsorted(words, words[1:] - min_words, side="right") - 1
-        f, b = fwd <= hi, (bwd >= lo) & (words[1:] - min_words >= 0)
-        run = k[k + RUN <= hi]
-        run = run[words[run + RUN] - words[run] >= RUN_WORDS]
-        a, z = np.concatenate([k[f], bwd[b], run]), np.concatenate([fwd[f], k[b] + 1, run + RUN])
+        run, alone = k[k + RUN <= self.first[doc + 1]], k[np.diff(words) >= LONG]
+        a, z = np.concatenate([run, alone]), np.concatenate([run + RUN, alone + 1])
         p = np.full(n + 1, _R, np.uint64)
         p[0] = 1
         p = np.cumprod(p, dtype=np.uint64)
@@ -100,24 +95,25 @@ class Sentences:
         self.h, self.doc = hashed(self.x, self.y), of[self.x]
 
     def covered(self, hit: np.ndarray) -> np.ndarray:
-        """Whether the spans ``hit`` cover each sentence whole. Those under ``min_words`` words count where longer ones overlap them or a
-        chain of them."""
+        """Whether passages of at least ``min_words`` words, chains of overlapping spans ``hit``, cover each sentence whole."""
         n = self.words[-1]
+        if not n:
+            return np.zeros(0, bool)
 
-        def cover(hit: np.ndarray, less: int) -> np.ndarray:
-            """Sums up to each word of the words (``less`` 0) or of the joints after words (``less`` 1) inside spans."""
+        def inside(less: int) -> np.ndarray:
+            """Which words (``less`` 0), or joints after words (``less`` 1), are inside spans."""
             mark = np.zeros(n + 1, np.int64)
             np.add.at(mark, self.x[hit], 1)
             np.add.at(mark, self.y[hit] - less, -1)
-            return np.concatenate([[0], np.cumsum(np.cumsum(mark)[:-1] > 0)])
+            return np.cumsum(mark)[:-1] > 0
 
-        joined = np.diff(cover(hit, 1)) > 0
-        part = np.cumsum(np.concatenate([[True], ~joined[:-1]])) if n else np.zeros(0, np.int64)  # words joined by spans
-        long = hit & (self.y - self.x >= self.min_words)
-        hit = hit & np.isin(part[self.x], part[self.x[long]])
+        word, joint = inside(0), inside(1)
+        passage = np.cumsum(np.concatenate([[False], ~joint[:-1]]))
+        word &= np.bincount(passage, word)[passage] >= self.min_words
+        joint &= word
+        words, joints = (np.concatenate([[0], np.cumsum(x)]) for x in (word, joint))
         a, z = self.words[:-1], self.words[1:]
-        whole, joints = cover(hit, 0), cover(hit, 1)
-        return (whole[z] - whole[a] == z - a) & (joints[z - 1] - joints[a] == z - 1 - a)
+        return (words[z] - words[a] == z - a) & (joints[z - 1] - joints[a] == z - 1 - a)
 
     def leads(self) -> np.ndarray:
         """Whether each span is the first of its hash in its text."""
@@ -186,9 +182,9 @@ def _clean(rows: DataFrame, min_words: int) -> DataFrame:
     return rows.mapInArrow(run, RESULT)
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = 25) -> DataFrame:
+def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = 40) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text): doc_id, n_sentences, n_removed, the removed sentences' numbers from 0,
-    and the text without them.
+    and the text without them. ``min_words``: the fewest words of a passage that goes; 1 takes every repeated run.
 
     Null and empty texts have no sentences and come back empty; rows of one id are one document and keep the same;
     a null id is compared with nothing but itself; an empty table gives an empty one."""
@@ -196,7 +192,8 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = 25)
     seen = spans_of(docs, min_words).groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_m"))
     shared = sc.save(seen.filter("keeper < _m").select("h", "keeper"), "shared")
     again = spans_of(docs, min_words, filters.build(shared, "h"))
-    lost = sc.save(again.join(shared, "h").filter("doc_id > keeper").select("doc_id", "h").distinct().groupBy("doc_id").agg(F.collect_list("h").alias("lost")), "lost")
+    lost = sc.save(again.join(shared, "h").filter("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("h").alias("lost")), "lost")
+    sc.tidy("shared")
     touched = filters.build(lost, "doc_id")
     rows = docs.select("doc_id", "text")
     hit = filters.keep(rows, "doc_id", touched)

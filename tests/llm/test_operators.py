@@ -153,6 +153,40 @@ def test_substrings(spark):
     assert all(r["text"] == short for r in substrings.dedup_substrings(spark, docs(spark, [short] * 3)).collect())
 
 
+def runs_gone(texts, least):
+    """Sentences that go, by all runs of three: places of words, passages as chains of overlapping runs."""
+    parsed, seen, gone = [], set(), {}
+    for t in texts:
+        parts = [re.split(r"(?<=[.!?])\s+", x) for x in (t or "").split("\n")]
+        parsed.append([words(x) for y in parts for x in y if words(x)])
+    for d, sents in enumerate(parsed):
+        at = np.cumsum([0] + [len(x) for x in sents])
+        hits = []
+        for k in range(len(sents) - 2):
+            key = tuple(w for x in sents[k : k + 3] for w in x)
+            if key in seen:
+                hits.append((at[k], at[k + 3]))
+            seen.add(key)
+        chains = []
+        for x, y in hits:  # in order of x
+            if chains and x < chains[-1][1]:
+                chains[-1][1] = max(chains[-1][1], y)
+            else:
+                chains.append([x, y])
+        gone[d] = [k for k in range(len(sents)) if any(x <= at[k] and at[k + 1] <= y and y - x >= least for x, y in chains)]
+    return gone
+
+
+@pytest.mark.parametrize("least", [1, 12])
+def test_substrings_match_brute_force(spark, least):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f"], rng.integers(1, 5))) + rng.choice([".", "!", "?"]) for _ in range(25)]
+    texts = [rng.choice([" ", "\n"]).join(rng.choice(pool, rng.integers(0, 12))) for _ in range(150)] + ODD[:6]
+    want = runs_gone(texts, least)
+    got = by_id(substrings.dedup_substrings(spark, docs(spark, texts), least))
+    assert sum(map(len, want.values())) > 30 and {d: r["removed"] for d, r in got.items()} == want
+
+
 def test_substrings_of_passages_cut_inside_sentences(spark):
     plain = lambda seed, n: prose(seed, n).replace(".", "")
     short = [plain(20 + i, 7) + "." for i in range(3)]  # 21 words in whole sentences, 61 with the parts of their neighbours
@@ -374,9 +408,9 @@ def test_minhash(spark, monkeypatch):
 
 
 def test_minhash_edges(spark):
-    assert minhash.near_duplicates(spark, docs(spark, [], shingle=4)).count() == 0
+    assert minhash.near_duplicates(spark, docs(spark, []), shingle=4).count() == 0
     odd = docs(spark, ODD).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
-    got = minhash.near_duplicates(spark, odd.unionByName(odd, shingle=4)).collect()
+    got = minhash.near_duplicates(spark, odd.unionByName(odd), shingle=4).collect()
     assert len(got) == 2 * len(ODD) and all(r["kept"] for r in got)
     assert minhash.drop_near_duplicates(spark, odd).count() == len(ODD)
 
@@ -399,7 +433,7 @@ def lost_by_estimate():
 def test_minhash_links_small_sets_whatever_their_estimate(spark):
     texts, regs, band = lost_by_estimate()
     assert near_components(texts)[1] == [0, 0]
-    got = by_id(minhash.near_duplicates(spark, docs(spark, texts, shingle=4)))
+    got = by_id(minhash.near_duplicates(spark, docs(spark, texts), shingle=4))
     assert [got[i]["component_id"] for i in (0, 1)] == [0, 0]
     rows = [(1, 0, 0, 2, i, i, band, r.tobytes(), t, n) for i, (t, r, n) in enumerate(zip(texts, regs, (5, 4)))]
     members = spark.createDataFrame(rows, "key long, p int, q int, side int, id long, c long, band int, sketch binary, text string, n long")
