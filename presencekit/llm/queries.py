@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": sql.MIXING, "op6_topk": sql.TOPK, "op7_minhash": sql.MINHASH, "op10_rules": sql.rules(rules.BOILERPLATE)}
+    return {"op1_mixing": sql.MIXING, "op6_topk": sql.TOPK, "op7_minhash": sql.MINHASH, "op10_rules": sql.rules(rules.BOILERPLATE, rules.MAX_LOST)}

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Fixed phrases of licence, cookie and navigation lines, lower case.
+#: Fixed phrases of licence, cookie and navigation lines in the corpus' four languages, lower case.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "this work is licensed", "creative commons", "terms of use", "terms of service",
     "privacy policy", "cookie", "javascript", "lorem ipsum", "subscribe", "sign in", "log in", "read more", "click here", "share this",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutz", "mehr lesen", "weiterlesen", "jetzt anmelden", "impressum",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "lire la suite", "abonnez-vous", "se connecter",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "leer más", "suscríbete", "iniciar sesión",
 )
 
 
@@ -82,7 +85,11 @@ def line_fails(line: Column) -> Column:
     return F.when(line.rlike("[#*$%&|<>!]"), noisy).otherwise(F.lit(False)) | unpunctuated | boiler
 
 
-def clean_lines(docs: DataFrame, max_lost: float = 0.85) -> DataFrame:
+#: Share of a document's characters that failing lines may take: a document that is mostly navigation is none.
+MAX_LOST = 0.5
+
+
+def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """``docs`` (with a ``text`` column; any others) plus one struct column ``quality``: n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and ``text``, what is left of the text.
 

@@ -31,10 +31,10 @@ reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, reac
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM reach GROUP BY 1) c ON c.id = d.doc_id"""
 
 
-def rules(boilerplate: tuple[str, ...]) -> str:
+def rules(boilerplate: tuple[str, ...], max_lost: float) -> str:
     marks = lambda c, some: f"(length({c}) - length(translate({c}, '{some}', '')))"
     fails = f"""(CASE WHEN regexp_matches(l, '[#*$%&|<>!]') THEN {marks("l", "|")} * 40 > length(l) OR {marks("l", "#*$%&|<>")} * 24 > length(l) OR (length(l) >= 15 AND {marks("l", "!")} * 18 > length(l)) ELSE false END
-  OR (length(l) >= 200 AND NOT regexp_matches(l, '[.!?;:,]')) OR (length(l) <= 160 AND regexp_matches(lower(l), '{"|".join(boilerplate)}')))"""
+  OR (length(l) >= 200 AND NOT regexp_matches(l, '[.!?;:,]')) OR (length(l) <= 160 AND regexp_matches(lower(l), '{"|".join(boilerplate).replace("'", "''")}')))"""
     chars = lambda c: rf"length(regexp_replace({c}, '[\x20\x09-\x0D]', '', 'g'))"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
@@ -45,4 +45,4 @@ ln AS (SELECT doc_id, l, row_number() OVER () AS k FROM (SELECT doc_id, unnest(s
 per AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, coalesce(sum({chars("l")}) FILTER (WHERE {fails}), 0) AS lost FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
 base AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, {chars("text")}::BIGINT AS word_chars, {marks("text", "#*$%&|<>")}::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN per USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.85 * word_chars AS kept FROM f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {max_lost} * word_chars AS kept FROM f"""
