@@ -205,6 +205,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
     # neighbours in the index stay together, so that a block of queries drops whole annuli
     near = _index(queries.withColumn("n2", F.lit(0.0)).select("vec_id", "dim", "v", "n2"), tops, pivots).select("vec_id", "dim", "v", "pivot", "r")
     asks = scratch.save(near.sort("dim", "pivot", "r").mapInArrow(asked, "dim int, pivot int, near double, far double, q_ids binary, q binary, low binary"), "asks")
+    scratch.drop("base")
     # both sides grow with the input: never broadcast
     met = asks.join(blocks.hint("merge"), ["dim", "pivot"]).filter("near <= r_hi and far >= r_lo").select("dim", "pivot", "q_ids", "q", "low", "ids", "vs", "rs")
     found = met.mapInArrow(meet, "query_id long, vec_id long, score long")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textops
 from ..scratch import Scratch
+from . import textops
 
 U = np.uint64
 
@@ -60,9 +60,9 @@ class Ftrl:
         return at.astype(np.int64), w[at]
 
 
-def train(spark: SparkSession, labelled: DataFrame, scratch: Scratch, bits: int = 20, max_rows: int = 16_000, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def train(spark: SparkSession, labelled: DataFrame, scratch: Scratch, bits: int = 20, max_rows: int = 16_000, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Sparse weights from ``labelled`` (doc_id, text, y). More than ``max_rows`` rows are thinned by a hash of the
-    id to about that many, a documented bound; every kept row's whole text is used. ``l1``: one for every 2000 training rows, within 3 and 8, where not given."""
+    id to about that many, a documented bound; every kept row's whole text is used. ``l1`` is the same at every size."""
     n = labelled.count()
     part = labelled if n <= max_rows else labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
 
@@ -78,7 +78,7 @@ def train(spark: SparkSession, labelled: DataFrame, scratch: Scratch, bits: int
 
     # in an order that does not follow the table's, so that no stretch of the stream is of one kind
     rows = scratch.save(part.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", F.lit("order")).alias("_o")).repartitionByRange(16, "_o").sortWithinPartitions("_o").select("text", "y").mapInArrow(run, "y int, f binary"), "features")
-    model = Ftrl(bits, alpha, beta, min(8.0, max(3.0, min(n, max_rows) / 2000)) if l1 is None else l1, l2)
+    model = Ftrl(bits, alpha, beta, l1, l2)
     for _ in range(epochs):
         for r in rows.toLocalIterator():
             model.step(np.frombuffer(r["f"], "<i4").astype(np.int64), r["y"])

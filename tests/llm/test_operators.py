@@ -278,6 +278,44 @@ def test_quality(spark):
     assert all(r["p"] == 0.5 for r in quality.quality_report(spark, docs(spark, ODD), labels.limit(0)).collect())
 
 
+def posterior_brute(rows, weight=0.5):
+    """(host_rate, site_rate, score) of rows (host, path, p), by loops."""
+    def strength(groups):  # (sum, number, prior) of each
+        n = sum(g[1] for g in groups)
+        q = sum(g[1] * (g[0] / g[1] - g[2]) ** 2 for g in groups)
+        between = max(0.0, (q - sum(g[2] * (1 - g[2]) for g in groups)) / n)
+        return min(1e4, max(1.0, sum(g[1] * g[2] * (1 - g[2]) for g in groups) / n / max(between, 1e-9) - 1))
+
+    def add(key):
+        out = collections.defaultdict(lambda: [0.0, 0])
+        for r in rows:
+            out[key(r)][0] += r[2]
+            out[key(r)][1] += 1
+        return out
+
+    logit = lambda x: math.log(min(1 - 1e-6, max(1e-6, x)) / (1 - min(1 - 1e-6, max(1e-6, x))))
+    prior = (sum(r[2] for r in rows) + 0.5) / (len(rows) + 1)
+    hosts, paths = add(lambda r: r[0]), add(lambda r: r[:2])
+    a = strength([(s, n, prior) for s, n in hosts.values()])
+    host = {h: (s + a * prior) / (n + a) for h, (s, n) in hosts.items()}
+    b = strength([(s, n, host[h]) for (h, _), (s, n) in paths.items()])
+    out = []
+    for h, p, x in rows:
+        s, n = paths[h, p]
+        site = (s - x + b * host[h]) / (n - 1 + b)
+        out.append((host[h], site, 1 / (1 + math.exp(-logit(x) - weight * (logit(site) - logit(prior))))))
+    return out
+
+
+def test_posterior_matches_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"h{rng.integers(5)}" if rng.random() < 0.9 else None, rng.choice(["a", "b", None]), float(rng.beta(2, 1 + rng.integers(4)))) for _ in range(400)] + [("only", "x", 0.01)]
+    df = spark.createDataFrame([(i, h, p, x) for i, (h, p, x) in enumerate(rows)], "doc_id long, host string, path string, p double")
+    got = by_id(quality.posterior(df, Scratch(spark, "t")))
+    for i, want in enumerate(posterior_brute(rows)):
+        assert [got[i][c] for c in ("host_rate", "site_rate", "score")] == pytest.approx(want, rel=1e-9)
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [("big", "p", 0.9)] * 200 + [("low", "p", 0.2)] * 200 + [("rare", "p", 0.5)] * 1 + [(None, None, 0.5)] * 2
     df = spark.createDataFrame([(i, h, p, x) for i, (h, p, x) in enumerate(rows)], "doc_id long, host string, path string, p double")
@@ -479,6 +517,29 @@ def test_toxicity(spark):
     assert toxicity.toxicity(spark, docs(spark, []), labels).count() == 0
 
 
+def test_ftrl_matches_scalar_steps():
+    """Each coordinate by the update of the method, on its own."""
+    rng = np.random.default_rng(2)
+    alpha, beta, l1, l2 = 0.7, 1.5, 0.4, 0.2
+    model, z, n = toxicity.Ftrl(5, alpha, beta, l1, l2), collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(300):
+        at = rng.choice(32, rng.integers(0, 8), replace=False)
+        y = int(7 in at or rng.random() < 0.2)
+        model.step(at, y)
+        own = [*at.tolist(), 32]
+        w = {i: weight(i) for i in own}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in own:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+    at, w = model.sparse()
+    assert {int(i): pytest.approx(x, abs=1e-9) for i, x in zip(at, w)} == {i: weight(i) for i in range(33) if weight(i)}
+
+
 # --- 9 Katz
 
 
