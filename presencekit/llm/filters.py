@@ -52,9 +52,18 @@ def build(df: DataFrame, column: str, most: int = BITS) -> np.ndarray:
 
 
 def has(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for x in places(keys, len(bits).bit_length() + 2):
-        out &= (bits[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+    """Whether each key may be in the filter; each hash looks only at keys that the ones before let through."""
+    h = textops.mix(textops.unsigned(keys.astype(np.int64)))
+    mask = np.uint64(8 * len(bits) - 1)
+    low, step = h & np.uint64((1 << 32) - 1), (h >> np.uint64(32)) | np.uint64(1)
+    live = np.arange(len(keys))
+    for _ in range(HASHES):
+        x = (low & mask).astype(np.int64)
+        ok = (bits[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+        live, low, step = live[ok], low[ok], step[ok]
+        low = low + step
+    out = np.zeros(len(keys), bool)
+    out[live] = True
     return out
 
 

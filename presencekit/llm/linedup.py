@@ -50,16 +50,20 @@ class Lines:
         if len(h):
             line[1:] = np.cumsum((row[1:] != row[:-1]) | (number[1:] != number[:-1]))
         at = textops.lookup(h, words)
-        code = h >> U(1)
-        code[at >= 0] = RARE | rank[at[at >= 0]]
-        k = np.argsort(code)
-        k = k[np.argsort(line[k], kind="stable")]
-        line_k, code_k = line[k], code[k]
+        rank = np.where(at >= 0, rank[at].astype(np.int64) if len(rank) else -1, -1)
+        # one sort by line, then by a code of 40 bits: hashes of rare words, then ranks
+        code = np.where(rank >= 0, (1 << 39) + rank, (h >> U(25)).astype(np.int64))
+        if len(h) and line[-1] < 1 << 23:
+            k = np.argsort((line << 40) | code)
+            c, l, x = code[k], line[k], h[k]
+            tied = ((c[1:] == c[:-1]) & (l[1:] == l[:-1]) & (x[1:] != x[:-1])).any()
+        if not len(h) or line[-1] >= 1 << 23 or tied:
+            k = np.lexsort((h, code, line))
+        line_k, h_k = line[k], h[k]
         new = np.ones(len(k), bool)
-        new[1:] = (line_k[1:] != line_k[:-1]) | (code_k[1:] != code_k[:-1])
+        new[1:] = (line_k[1:] != line_k[:-1]) | (h_k[1:] != h_k[:-1])
         k = k[new]
-        line, self.h = line[k], h[k]
-        self.rank = np.where(code[k] >= RARE, (code[k] ^ RARE).astype(np.int64), -1)
+        line, self.h, self.rank = line[k], h[k], rank[k]
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(k) else np.zeros(0, np.int64)
         self.cut = np.append(first, len(k))
         self.n = np.diff(self.cut)
@@ -396,15 +400,15 @@ def similar_lines(table: DataFrame, firsts: Firsts, many: np.ndarray, sc: Scratc
     for k, until in enumerate(ROUNDS):
         pairs = candidates(listed, threshold, after, until, asked).groupBy("doc_a", "line_a", "doc_b", "line_b").agg(F.max("more").alias("more"))
         pairs = sc.save(pairs, f"pairs_{k}")
-        sets = _lines_in(firsts, filters.build(_ids(pairs, "a", "b"), "id"))
+        sets = sc.save(_lines_in(firsts, filters.build(_ids(pairs, "a", "b"), "id")), f"sets_{k}")
         good = sc.save(verify(pairs.drop("more"), sets, threshold).distinct(), f"good_{k}")
         found = good if found is None else found.unionByName(good)
         open_ = pairs.filter("more").select("doc_b", "line_b").distinct().join(good, ["doc_b", "line_b"], "left_anti")
         if until is None or (open_ := sc.save(open_, f"open_{k}")).isEmpty():
-            sc.tidy(f"pairs_{k}")
+            sc.tidy(f"pairs_{k}", f"sets_{k}")
             break
         after, asked = until, filters.build(_ids(open_, "b"), "id")
-        sc.tidy(f"pairs_{k}", f"open_{k}")
+        sc.tidy(f"pairs_{k}", f"open_{k}", f"sets_{k}")
     sc.tidy("lists")
     return found
 

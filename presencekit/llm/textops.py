@@ -170,10 +170,45 @@ def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
+_INDEX: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+#: Keys of one run of leading bits beyond which binary search is used.
+RUN = 64
+
+
+def _index(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(the keys, place of the first key of each run of leading bits, number of these bits, 0 if runs are long); the last few
+    tables are kept."""
+    got = _INDEX.get(id(sorted_keys))
+    if got is None or got[0] is not sorted_keys:
+        bits = len(sorted_keys).bit_length()
+        edges = np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)
+        start = np.append(np.searchsorted(sorted_keys, edges), len(sorted_keys))
+        got = (sorted_keys, start, bits if np.diff(start).max() <= RUN else 0)
+        if len(_INDEX) > 3:
+            _INDEX.pop(next(iter(_INDEX)))
+        _INDEX[id(sorted_keys)] = got
+    return got
+
+
 def lookup(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-    """Place of each key in ``sorted_keys``, or -1."""
+    """Place of each key in ``sorted_keys`` (uint64, unique), or -1. Large tables of hashes are entered by their leading bits."""
     if not len(sorted_keys):
         return np.full(len(keys), -1, np.int64)
+    if len(sorted_keys) >= 1 << 12 and len(keys) >= 1 << 10:
+        _, start, bits = _index(sorted_keys)
+        if bits:
+            out = np.full(len(keys), -1, np.int64)
+            run = (keys >> U(64 - bits)).astype(np.int64)
+            at, end = start[run], start[run + 1]
+            live = np.flatnonzero(at < end)
+            at, end, key = at[live], end[live], keys[live]
+            while len(live):
+                found = sorted_keys[at]
+                hit = found == key
+                out[live[hit]] = at[hit]
+                on = (found < key) & (at + 1 < end)
+                live, at, end, key = live[on], at[on] + 1, end[on], key[on]
+            return out
     at = np.searchsorted(sorted_keys, keys)
     at[at == len(sorted_keys)] = 0
     return np.where(sorted_keys[at] == keys, at, -1)

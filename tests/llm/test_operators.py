@@ -56,6 +56,15 @@ def test_word_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_lookup():
+    rng = np.random.default_rng(0)
+    for table in (rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.arange(9000, dtype=np.uint64), np.zeros(0, np.uint64)):
+        table = np.unique(table)
+        keys = np.concatenate([rng.choice(table, 3000) if len(table) else table, rng.integers(0, 1 << 63, 3000, dtype=np.uint64)])
+        place = {int(k): i for i, k in enumerate(table)}
+        assert textops.lookup(keys, table).tolist() == [place.get(int(k), -1) for k in keys]
+
+
 def test_exchange_round_trip(spark):
     def run(batches):
         def records():
