@@ -27,7 +27,9 @@ def normalize_dna(seq: Column) -> Column:
 
 
 def reverse_complement(seq: Column) -> Column:
-    return F.reverse(F.translate(F.upper(seq), "ACGT", "TGCA"))
+    """Reverse complement of A, C, G, T, N in either case; any other letter is an error."""
+    wrong = F.raise_error(F.concat(F.lit("no base to complement in: "), F.substring(seq, 1, 80))).cast("string")
+    return F.when(seq.rlike("[^ACGTNacgtn]"), wrong).otherwise(F.reverse(F.translate(F.upper(seq), "ACGT", "TGCA")))
 
 
 def is_kmer(w: Column, k: int | None = None) -> Column:
@@ -55,7 +57,7 @@ def decode(code: Column, k: int) -> Column:
 
 def canonical(w: Column) -> Column:
     """The smaller code of a k-mer and its reverse complement, as unsigned numbers."""
-    a, b = encode(w), encode(reverse_complement(w))
+    a, b = encode(w), encode(F.reverse(F.translate(F.upper(w), "ACGT", "TGCA")))
     return F.when(unsigned_order(a) <= unsigned_order(b), a).otherwise(b)
 
 

@@ -11,14 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits, kmers, paths
 from .functions.kernels import kmer_table
 from .functions.stats import t_pvalue
 from .operators import genes, gwas, panel, popstruct, presence, validate
-from .sources import tables
+from .scratch import Scratch
+from .sources import sequences, tables
 
 K, KG = 9, 7  # word lengths of the panel and of the association queries
 
@@ -191,6 +192,33 @@ def pca_components(spark, sf):
     return popstruct.pop_structure(p, spark.range(p.n).select(F.col("id").cast("int").alias("acc_idx"), F.col("id").cast("string").alias("accession")), 5)
 
 
+def pca_spectrum(spark, sf):
+    """Sums of the eigenvalues and of their squares, which the matrix's elements give as well."""
+    p = _suppliers(spark, sf)
+    v = popstruct.spectrum(p.patterns, p.n)
+    return spark.createDataFrame([(float(v.sum()), float((v * v).sum()))], "a double, b double").select(F.round("a", 5).alias("trace"), F.round("b", 5).alias("squares"))
+
+
+def _written(spark, sf, name: str, record: Column) -> str:
+    """A folder of text files with the records of all documents."""
+    at = f"{Scratch(spark, 'files').base}/{name}"
+    _t(spark, sf, "documents").select(F.format_string("%d", "doc_id").alias("id"), F.coalesce(kmers.normalize_dna(F.col("text")), F.lit("")).alias("s")).select(record.alias("value")).write.text(at)
+    return at
+
+
+def fasta_records(spark, sf):
+    """Documents as FASTA files of two lines a record, read back."""
+    half = F.floor(F.length("s") / 2).cast("int")
+    at = _written(spark, sf, "fasta", F.concat(F.lit(">"), "id", F.lit("\n"), F.substring("s", F.lit(1), half), F.lit("\n"), F.substring("s", half + 1, F.length("s"))))
+    return sequences.read_fasta(spark, [at]).select(F.col("id").cast("long").alias("doc_id"), F.col("raw").alias("seq"))
+
+
+def fastq_records(spark, sf):
+    """Documents as FASTQ files whose qualities look like headers, read back."""
+    at = _written(spark, sf, "fastq", F.concat(F.lit("@"), "id", F.lit("\n"), "s", F.lit("\n+\n"), F.expr("repeat('@', length(s))")))
+    return sequences.read_fastq(spark, [at]).select(F.col("id").cast("long").alias("doc_id"), F.col("raw").alias("seq"), F.length("qual").cast("long").alias("n_qual"))
+
+
 def panel_t_patterns(spark, sf):
     p = _suppliers(spark, sf)
     return p.patterns.select("pattern_id", F.col("rep").alias("rep"), "n_kmers", "n_carriers")
@@ -210,7 +238,7 @@ def student_t_table(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         normalize_dna, reverse_complement, accession_id, kmer_windows, encode_decode, count_ci1, count_ci2, presence_distinct, universe, import_kmers, stripes_long, stripe_fill, dense_words, pattern_store,
-        kmer_map, pattern_members, carriers, dedup_ratio, gene_lookup, validate_report, pheno_join, gwas_sums, gwas_topn, pca_gram, pca_components, panel_t_patterns, student_t_table,
+        kmer_map, pattern_members, carriers, dedup_ratio, gene_lookup, validate_report, pheno_join, gwas_sums, gwas_topn, pca_gram, pca_components, panel_t_patterns, student_t_table, pca_spectrum, fasta_records, fastq_records,
     )
     return {f.__name__: f for f in plain} | {"gwas_t_npc1": _t_query(1), "gwas_t_npc2": _t_query(2)}
 
@@ -277,6 +305,13 @@ def _simple() -> dict[str, str]:
     n = "(SELECT max(doc_id) + 1 FROM documents)"
     t = "sign({r}) * sqrt({r} * {r} * (n - 1 - {k}) / (1 - {r} * {r}))"
     rc = "reverse(translate(kmer, 'ACGT', 'TGCA'))"
+    gram = """WITH pres AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS c FROM lineitem), num AS (SELECT max(s_suppkey) + 1 AS n FROM supplier),
+lists AS (SELECT c, list(a ORDER BY a) AS ds FROM pres GROUP BY 1), pat AS (SELECT ds, min(c) AS rep FROM lists GROUP BY 1),
+x AS (SELECT rep, unnest(ds) AS a, len(ds) / (SELECT n FROM num)::DOUBLE AS m FROM pat),
+rs AS (SELECT i.a, coalesce(sum(m), 0) AS s FROM (SELECT unnest(range(0, (SELECT n FROM num))) AS a) i LEFT JOIN x ON x.a = i.a GROUP BY 1),
+mm AS (SELECT sum((len(ds) / (SELECT n FROM num)::DOUBLE) ** 2) AS s FROM pat),
+co AS (SELECT p.a AS i, q.a AS j, count(*) AS n FROM x p JOIN x q ON p.rep = q.rep AND p.a <= q.a GROUP BY 1, 2)
+SELECT p.a::INT AS i, q.a::INT AS j, round(round(coalesce(co.n, 0) - p.s - q.s + mm.s, 9), 5) AS g FROM rs p JOIN rs q ON p.a <= q.a LEFT JOIN co ON co.i = p.a AND co.j = q.a, mm"""
     return {
         "normalize_dna": "SELECT doc_id, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents",
         "reverse_complement": "SELECT doc_id, reverse(translate(upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')), 'ACGT', 'TGCA')) AS rc FROM documents",
@@ -307,13 +342,20 @@ SELECT item_id, kmer_code, kmer, pa_bits FROM g JOIN lists USING (kmer_code) JOI
         "gwas_sums": _gwas_sql(1) + " SELECT pattern_id, num_carriers, round(quality_sum, 6) AS quality_sum, round(toxic_sum, 6) AS toxic_sum FROM r",
         "gwas_t_npc1": _gwas_sql(1) + f" SELECT pattern_id, round({t.format(r='r_quality', k=1)}, 5) AS quality_t, round({t.format(r='r_toxic', k=1)}, 5) AS toxic_t FROM r",
         "gwas_t_npc2": _gwas_sql(2) + f" SELECT pattern_id, round({t.format(r='r_quality', k=2)}, 5) AS quality_t, round({t.format(r='r_toxic', k=2)}, 5) AS toxic_t FROM r",
-        "pca_gram": """WITH pres AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS c FROM lineitem), num AS (SELECT max(s_suppkey) + 1 AS n FROM supplier),
-lists AS (SELECT c, list(a ORDER BY a) AS ds FROM pres GROUP BY 1), pat AS (SELECT ds, min(c) AS rep FROM lists GROUP BY 1),
-x AS (SELECT rep, unnest(ds) AS a, len(ds) / (SELECT n FROM num)::DOUBLE AS m FROM pat),
-rs AS (SELECT i.a, coalesce(sum(m), 0) AS s FROM (SELECT unnest(range(0, (SELECT n FROM num))) AS a) i LEFT JOIN x ON x.a = i.a GROUP BY 1),
-mm AS (SELECT sum((len(ds) / (SELECT n FROM num)::DOUBLE) ** 2) AS s FROM pat),
-co AS (SELECT p.a AS i, q.a AS j, count(*) AS n FROM x p JOIN x q ON p.rep = q.rep AND p.a <= q.a GROUP BY 1, 2)
-SELECT p.a::INT AS i, q.a::INT AS j, round(round(coalesce(co.n, 0) - p.s - q.s + mm.s, 9), 5) AS g FROM rs p JOIN rs q ON p.a <= q.a LEFT JOIN co ON co.i = p.a AND co.j = q.a, mm""",
+        "pca_gram": gram,
+        "pca_spectrum": f"""WITH g AS ({gram.replace("round(round(coalesce(co.n, 0) - p.s - q.s + mm.s, 9), 5)", "coalesce(co.n, 0) - p.s - q.s + mm.s")}), m AS (SELECT greatest(count(*) - 1, 1)::DOUBLE AS m FROM (SELECT DISTINCT ds FROM (SELECT list(a ORDER BY a) AS ds FROM (SELECT DISTINCT l_suppkey AS a, l_partkey AS c FROM lineitem) GROUP BY c)))
+SELECT round(sum(g) FILTER (WHERE i = j) / any_value(m), 5) AS trace, round(sum(g * g * CASE WHEN i = j THEN 1 ELSE 2 END) / any_value(m * m), 5) AS squares FROM g, m""",
+        "fasta_records": "SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents",
+        "fastq_records": "SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTNacgtn]', '', 'g')) AS seq, length(regexp_replace(coalesce(text, ''), '[^ACGTNacgtn]', '', 'g'))::BIGINT AS n_qual FROM documents",
+        "gwas_topn": _gwas_sql(2).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+two AS (SELECT pattern_id, trait, r * r AS rr, n - 3 AS df FROM (SELECT pattern_id, n, unnest(['q', 't']) AS trait, unnest([r_quality, r_toxic]) AS r FROM r)),
+ser AS (SELECT *, 0 AS j, 1.0::DOUBLE AS term, 1.0::DOUBLE AS total FROM two
+  UNION ALL SELECT pattern_id, trait, rr, df, j + 1, nxt, total + nxt FROM (SELECT *, term * (1 - rr) * CASE WHEN df % 2 = 0 THEN (2 * j + 1) / (2.0 * j + 2) ELSE (2.0 * j + 2) / (2 * j + 3) END AS nxt FROM ser) WHERE j + 1 <= CASE WHEN df % 2 = 0 THEN df // 2 - 1 ELSE (df - 3) // 2 END),
+pv AS (SELECT pattern_id, trait, CASE WHEN df % 2 = 0 THEN 1 - sqrt(rr) * total ELSE 1 - 2 / pi() * (asin(sqrt(rr)) + sqrt(rr) * sqrt(1 - rr) * total) END AS p FROM ser QUALIFY row_number() OVER (PARTITION BY pattern_id, trait ORDER BY j DESC) = 1),
+wide AS (SELECT pattern_id, any_value(p) FILTER (WHERE trait = 'q') AS pq, any_value(p) FILTER (WHERE trait = 't') AS pt FROM pv GROUP BY 1),
+top AS (SELECT * FROM wide ORDER BY round(log10(greatest(least(pq, pt), 1e-300)), 9), pattern_id LIMIT 1000)
+SELECT kmer, kmer_code, round(quality_sum, 6) AS quality_sum, round(toxic_sum, 6) AS toxic_sum, num_carriers, round(pq, 6) AS quality_p, round(pt, 6) AS toxic_p, pa_bits
+FROM top JOIN r USING (pattern_id) JOIN pat USING (pattern_id) JOIN lists USING (ds) JOIN (SELECT DISTINCT kmer, kmer_code FROM win) USING (kmer_code) JOIN bits USING (pattern_id)""",
         "panel_t_patterns": """WITH lists AS (SELECT l_partkey AS c, list(DISTINCT l_suppkey ORDER BY l_suppkey) AS ds FROM lineitem GROUP BY 1)
 SELECT row_number() OVER (ORDER BY min(c)) - 1 AS pattern_id, min(c) AS rep, count(*) AS n_kmers, len(ds)::BIGINT AS n_carriers FROM lists GROUP BY ds""",
         "student_t_table": """WITH RECURSIVE g AS (SELECT (i % 40) / 2.0::DOUBLE AS t, (i // 40 + 1)::INT AS df FROM (SELECT unnest(range(0, 1200)) AS i)),

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..errors import InvalidArgument, IoError
 from ..functions.kmers import check_k, encode, is_kmer
@@ -32,29 +33,38 @@ def read_kmers(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 
 def import_dump(lines: DataFrame, k: int, column: str = "value") -> DataFrame:
-    """(kmer_code) of a counter's text dump: the k-mer comes before the first blank."""
-    return import_kmers(lines.select(F.regexp_extract(column, r"^\s*(\S*)", 1).alias("value")), k)
+    """(kmer_code) of a counter's text dump: the k-mer comes before the first blank. Blank lines are skipped; all else that is no
+    k-mer of length k, hexadecimal codes and comments among it, is an error."""
+    check_k(k)
+    word = F.regexp_extract(column, r"^\s*(\S*)", 1)
+    bad = F.raise_error(F.concat(F.lit(f"not a k-mer of length {k}: "), word)).cast("long")
+    return lines.filter(word != "").select(F.when(is_kmer(word, k), encode(word)).otherwise(bad).alias("kmer_code")).distinct()
 
 
 def read_numeric(spark: SparkSession, path: str) -> DataFrame:
-    """(key, DOUBLE columns) of a TSV with a header; blank lines and those that start with # are skipped. A ragged row, a cell that
-    is no number, fewer than two columns or no rows are errors. The key column takes the header's first name."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    first = lines.first()
-    if first is None:
+    """(key, DOUBLE columns) of a TSV with a header, in the order of its rows; blank lines and those that start with # are skipped. A
+    ragged row, a cell that is no number, fewer than two columns or no rows are errors. The key column takes the header's first
+    name. Such a table has a row an accession and is read on the driver."""
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    lines = [x.removesuffix("\r") for f in files for x in bytes(f["content"]).decode("utf-8").split("\n")]
+    cells = [x.split("\t") for x in lines if x.strip() and not x.startswith("#")]
+    if not cells:
         raise IoError(f"{path}: empty table")
-    names = first["value"].rstrip("\r").split("\t")
+    names, rows = cells[0], []
     if len(names) < 2:
         raise IoError(f"{path}: a table needs two columns")
-    cells = lines.filter(F.regexp_replace("value", "\r$", "") != "\t".join(names)).select(F.split(F.regexp_replace("value", "\r$", ""), "\t", -1).alias("c"))
-    numbers = [F.get("c", F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names) if i]
-    bad = cells.filter((F.size("c") != len(names)) | F.array_contains(F.transform(F.slice("c", 2, len(names)), lambda x: x.try_cast("double").isNull()), True))
-    if (row := bad.first()) is not None:
-        raise IoError(f"{path}: bad row {row['c']}")
-    out = cells.select(F.get("c", F.lit(0)).alias(names[0]), *numbers)
-    if out.isEmpty():
+    for c in cells[1:]:
+        try:
+            row = (c[0], *map(float, c[1:]))
+        except ValueError:
+            row = ()
+        if len(row) != len(names):
+            raise IoError(f"{path}: bad row {c}")
+        rows.append(row)
+    if not rows:
         raise IoError(f"{path}: no rows")
-    return out
+    schema = StructType([StructField(n, DoubleType() if i else StringType()) for i, n in enumerate(names)])
+    return spark.createDataFrame(rows, schema)
 
 
 def six_digits(x: float) -> str:

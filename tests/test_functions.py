@@ -41,6 +41,8 @@ def test_encode_refuses(spark):
 def test_normalize_and_reverse(spark):
     assert one(spark, kmers.normalize_dna(F.lit("ac-gt rynN\u0149x"))) == "ACGTNN"
     assert one(spark, kmers.reverse_complement(F.lit("aacgN"))) == "NCGTT"
+    with pytest.raises(Exception, match="no base"):
+        one(spark, kmers.reverse_complement(F.lit("ACGR")))
 
 
 @pytest.mark.parametrize(

@@ -1,7 +1,10 @@
 import gzip
 import struct
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from panels import TINY
 from pyspark.sql import functions as F
 
@@ -34,12 +37,49 @@ def test_lists(folder, tmp_path):
         lists.read_list(str(tmp_path / "none"))
 
 
-def test_parsers():
-    assert list(sequences.parse_fasta([">a b", "AC", "", "GT", ">c", "T"], "f")) == [("a b", "ACGT", None), ("c", "T", None)]
-    assert list(sequences.parse_fastq(["", "@r", "AC", "+x", "II"], "f")) == [("r", "AC", "II")]
-    for f, lines in ((sequences.parse_fasta, ["AC"]), (sequences.parse_fasta, []), (sequences.parse_fastq, [">r", "AC", "+", "II"]), (sequences.parse_fastq, ["@r", "AC", "+", "I"]), (sequences.parse_fastq, ["@r", "AC"]), (sequences.parse_fastq, [])):
-        with pytest.raises(IoError):
-            list(f(lines, "f"))
+def read(spark, tmp_path, name, text, kind):
+    (tmp_path / name).write_text(text)
+    got = (sequences.read_fastq if kind == "fastq" else sequences.read_fasta)(spark, [str(tmp_path / name)])
+    return [(r.id, r.raw, r.qual) for r in got.orderBy("rec_idx").collect()]
+
+
+def test_parsers(spark, tmp_path):
+    assert read(spark, tmp_path, "a.fa", "\n>a b\nAC\n\nGT\r\n>c\r\nT", "fasta") == [("a b", "ACGT", None), ("c", "T", None)]
+    assert read(spark, tmp_path, "b.fq", "\n@r\nAC\n+x\n@I\n\n\n@s\r\n\r\n+\r\n\r\n", "fastq") == [("r", "AC", "@I"), ("s", "", "")]
+    for i, (kind, text) in enumerate((("fasta", "AC"), ("fasta", ""), ("fastq", ">r\nAC\n+\nII\n"), ("fastq", "@r\nAC\n+\nI\n"), ("fastq", "@r\nAC\n"), ("fastq", ""))):
+        (tmp_path / f"bad{i}.txt").write_text(text)
+        acc = lists.accessions(spark, [str(tmp_path / f"bad{i}.txt")])
+        with pytest.raises(Exception, match=f"bad{i}.txt"):
+            sequences.read_sequences(spark, acc, kind).collect()
+
+
+def test_records_across_splits(spark, tmp_path):
+    """Plain files in splits of a few bytes, with blank lines between records and qualities that look like headers."""
+    rng = np.random.default_rng(0)
+    seqs = ["".join(rng.choice(list("ACGTN"), rng.integers(0, 60))) for _ in range(200)]
+    quals = ["".join(rng.choice(list("@>+I"), len(x))) for x in seqs]
+    fq = "".join(f"@r{i}\n{x}\n+\n{q}\n" + "\n" * (i % 3 == 0) for i, (x, q) in enumerate(zip(seqs, quals)))
+    fa = "".join(f">r{i}\n" + "".join(x[k : k + 20] + "\n" for k in range(0, len(x), 20)) for i, x in enumerate(seqs))
+    names = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert read(spark, tmp_path, "s.fq", fq, "fastq") == [(f"r{i}", x, q) for i, (x, q) in enumerate(zip(seqs, quals))]
+        assert read(spark, tmp_path, "s.fa", fa, "fasta") == [(f"r{i}", x, None) for i, x in enumerate(seqs)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@given(st.lists(st.booleans(), max_size=30), st.integers(0, 3))
+def test_advance(blank, state):
+    want, begun = state, 0
+    for x in blank:
+        if want or not x:
+            begun += want == 0
+            want = (want + 1) % 4
+    assert sequences.advance(state, len(blank), [i for i, x in enumerate(blank) if x]) == (want, begun)
 
 
 def test_read_sequences(spark, folder):
@@ -54,10 +94,18 @@ def test_import_kmers(spark, tmp_path):
     assert sorted(r.kmer_code for r in tables.read_kmers(spark, str(tmp_path / "k.txt"), 3).collect()) == [0, 16]
     lines = spark.createDataFrame([("ACGT 12",), ("CCCC\t3",)], "value string")
     assert tables.import_dump(lines, 4).count() == 2
+    for bad in ("0x10 1", "# ACGT", "ACG 1"):
+        with pytest.raises(Exception, match="not a k-mer"):
+            tables.import_dump(spark.createDataFrame([(bad,)], "value string"), 4).collect()
     with pytest.raises(Exception, match="not a k-mer"):
         tables.import_kmers(spark.createDataFrame([("ACGTA",)], "value string"), 4).collect()
 
 
+def test_tables_keep_rows_equal_to_the_header(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("#c\n1\t2\r\n\n1\t2\nb\t0.5\n1\t3\n")
+    assert [tuple(r) for r in tables.read_numeric(spark, str(tmp_path / "t.tsv")).collect()] == [("1", 2.0), ("b", 0.5), ("1", 3.0)]
+
+
 @pytest.mark.parametrize("text", ["", "a\n1\n", "a\tb\n", "a\tb\nx\tno\n", "a\tb\nx\t1\t2\n"])
 def test_bad_tables(spark, tmp_path, text):
     (tmp_path / "t.tsv").write_text(text)
@@ -75,8 +123,36 @@ def test_binary_layouts(spark, tmp_path):
     assert sorted((r.kmer_code, r.words) for r in binary.read_matrix(spark, [str(tmp_path / "m.bin")]).collect()) == [(4, [3]), (9, [3])]
     (tmp_path / "v1.bin").write_bytes(struct.pack("<4sIIIIxxxxQQ", b"KMAT", 1, 3, 2, 1, 1, 0) + struct.pack("<QQ", 4, 3))
     assert binary.read_matrix(spark, [str(tmp_path / "v1.bin")]).first().words == [3]
-    with pytest.raises(IoError):
-        binary.decode_codes(struct.pack("<4sIIIIxxxxQ", b"KSET", 1, 32, 1, 0, 2) + struct.pack("<2Q", 5, 5), "x", b"KSET", 24, 32, False)
+    for name, raw in (("order", struct.pack("<4sIIIIxxxxQ", b"KSET", 1, 32, 1, 0, 2) + struct.pack("<2Q", 5, 5)), ("short", struct.pack("<4sIIIIxxxxQ", b"KSET", 1, 32, 1, 0, 3) + struct.pack("<2Q", 5, 6)), ("magic", b"KUNI" + bytes(40)), ("none", b"")):
+        (tmp_path / name).write_bytes(raw)
+        with pytest.raises(Exception, match=name):
+            binary.read_codes(spark, [str(tmp_path / name)]).collect()
+
+
+def test_matrices_in_ranges(spark, tmp_path, monkeypatch):
+    """Two stripes of 70 accessions and the same matrix in version 2, read a few rows at a time, give one panel."""
+    monkeypatch.setattr(binary, "RANGE", 64)
+    rng = np.random.default_rng(1)
+    words = rng.integers(1, 4, (50, 2)).astype("<u8")
+    codes = np.arange(50, dtype="<u8") * 3
+    for i in range(2):
+        rows = np.column_stack([codes, words[:, i]]).astype("<u8")
+        (tmp_path / f"s{i}.bin").write_bytes(struct.pack("<4sIIIIxxxxQQ", b"KMAT", 1, 5, 64, 1, 50, 0) + rows.tobytes())
+    store, at = np.unique(words, axis=0, return_inverse=True)
+    entries = np.array([(c, p, 0) for c, p in zip(codes, at.ravel())], binary.ENTRY)
+    (tmp_path / "v2.bin").write_bytes(struct.pack("<4sIIIIxxxxQQ", b"KMAT", 2, 5, 70, 2, 50, len(store)) + store.astype("<u8").tobytes() + entries.tobytes())
+    want = {int(c): [int(x) for x in w] for c, w in zip(codes, words)}
+    (tmp_path / "stripes.txt").write_text(f"{tmp_path}/s0.bin\n{tmp_path}/s1.bin\n")
+    (tmp_path / "acc.txt").write_text("".join(f"a{i}.fa\n" for i in range(70)))
+    p = commands.open_panel(spark, str(tmp_path / "v2.bin"))
+    q = commands.open_panel(spark, None, str(tmp_path / "stripes.txt"), 70)
+    for x in (p, q):
+        assert (x.k, x.n) == (5, 70) and {r.kmer_code: r.words for r in x.kmers.join(x.patterns, "pattern_id").collect()} == want
+    assert binary.read_patterns(spark, str(tmp_path / "v2.bin")).count() == len(store)
+    saved = commands.import_matrix(spark, str(tmp_path / "panel"), str(tmp_path / "acc.txt"), str(tmp_path / "v2.bin"))
+    assert commands.check(spark, str(tmp_path / "panel"), str(tmp_path / "acc.txt")).first().ok and saved.n_kmers == 50
+    with pytest.raises(InvalidArgument):
+        commands.open_panel(spark, None, str(tmp_path / "stripes.txt"), 64)
 
 
 def test_commands_end_to_end(spark, folder, tmp_path):
