@@ -1,4 +1,4 @@
-"""The tiny panel and what is known of it."""
+"""The tiny panel and what is known of it. All of it are fixed values: the sequences, traits and results that the field's toy panel has."""
 
 TINY = [
     ("sample_a", "ACGTACGTACGT", 1.2), ("sample_b", "ACGTAAAACCCC", 2.4), ("sample_c", "TTTTACGTTTTT", 0.5),
