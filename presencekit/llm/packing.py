@@ -10,6 +10,7 @@ of all pieces share is never gathered in one task, and the rank alone tells sequ
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -30,6 +31,7 @@ CACHE, SPARE = 500_000, 100_000
 
 _ids: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _tok: dict[str, object] = {}
+_words: dict[str, bool] = {}
 
 
 def default_tokenizer() -> str:
@@ -47,6 +49,24 @@ def _tokenizer(path: str):
     return _tok[path]
 
 
+# Fixed values of tokenizers that normalise and split at white space and lower-case, so that a text's ids are those of its words.
+BY_WORD = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE", "</w>"]
+BY_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_word(path: str) -> bool:
+    """Whether texts may be encoded word by word with the tokenizer at ``path``."""
+    if path not in _words:
+        with open(path, encoding="utf-8") as f:
+            t = json.load(f)
+        steps = (t.get("normalizer") or {}).get("normalizers", [])
+        splits = (t.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        shape = [[x["type"] for x in steps], [x["type"] for x in splits], t["model"]["type"], t["model"].get("end_of_word_suffix")]
+        specials = all(x["content"].startswith("<|") for x in t.get("added_tokens", []))
+        _words[path] = shape == BY_WORD and specials and splits[0]["pattern"] == {"Regex": BY_WORD_SPLIT} and steps[1]["pattern"] == {"Regex": r"\s+"}
+    return _words[path]
+
+
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b if b in _PRINTED else 256 + sorted(set(range(256)) - set(_PRINTED)).index(b) for b in range(256)}
@@ -78,9 +98,11 @@ def _encode_words(new: set[bytes], path: str) -> dict[bytes, bytes]:
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit values.
 
-    The tokenizer normalises and splits at white space, so a text's ids are those of its words in turn; each
-    different word is encoded once. A-Z are lowered before the lookup, as the tokenizer does, unless the
+    Where the tokenizer normalises and splits at white space, a text's ids are those of its words in turn, and each
+    different word is encoded once; with any other tokenizer whole texts are encoded. A-Z are lowered before the lookup, as the tokenizer does, unless the
     text may hold a special token's string, which is matched before lowering."""
+    if not by_word(path):
+        return [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     known, spare = _ids.setdefault(path, ({}, {}))
     split = [(t if b"<|" in t else t.lower()).split() for t in texts]
     new = set().union(*split) - known.keys()

@@ -363,6 +363,18 @@ def test_packing(spark):
     assert list(whole["ids"]) == tok.encode("one", add_special_tokens=False).ids + [1]
 
 
+@pytest.mark.parametrize("name, by_word", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encode_with_any_tokenizer(name, by_word):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = [t or "" for t in ODD] + [prose(1, 50), "It's THE end, isn't it?", "Æther – naïve ", "<|endoftext|> x", "a  b\n\nc"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.by_word(path) == by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode([t.encode() for t in texts], path)] == want
+
+
 @pytest.mark.parametrize("n, mu", [(0, 1), (1, 1), (500, 6.5), (5000, 5)])
 def test_pack_lengths(n, mu):
     lens = np.clip(np.random.default_rng(n).lognormal(mu, 1, n).astype(int), 1, 512)
