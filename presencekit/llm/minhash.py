@@ -7,7 +7,7 @@ candidates: at a similarity of 0.8 all bands miss with a chance of 2e-9. Candida
 chance collisions of registers, 5 deviations below the threshold, unless one of the sets is small, and are confirmed on the
 full shingle sets.
 
-Equal sets are one node from the start. In a band's bucket only links to its smallest id are tried at first, then links
+Equal sets are one node from the start, whichever documents have them. In a band's bucket only links to its smallest id are tried at first, then links
 between one drawn member of each component and of the smallest. Buckets that still hold several components are compared in
 full: every pair across components is judged once, in the first band it shares, inside a task and on the full sets, and one
 link for each two components comes out. So a bucket of n near copies costs about n links and not n squared, and the
@@ -260,19 +260,19 @@ def near_duplicates(
     """One row a row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept (the component's smallest id).
     ``among`` (doc_id): only rows with one of these ids take part and are returned.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows of one id are one document, which has, of
-    different texts, the one with the smallest hash. A null id is linked with nothing, has no component and is kept. An
-    empty table gives an empty one."""
+    Null, empty and blank texts have no shingles and are linked with nothing. Rows of one id are one document, linked with what
+    any of its texts is linked with. A null id is linked with nothing, has no component and is kept. An empty table gives
+    an empty one."""
     sc = Scratch(spark, "minhash")
     sk = sketches(docs, shingle)
     if among is not None:
         sk = sk.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
     sk = sc.save(sk, "sketches")
-    ids = sk.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("th", "f1", "f2")).alias("x")).select("doc_id", "x.*")
-    ids = sc.save(ids, "ids")
-    reps = sc.save(ids.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.count("*").alias("copies")).select("f1", "f2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("th"), "copies"), "reps")
-    heads = reps.select(F.col("rep").alias("doc_id"), "th")
-    nodes = sk.join(heads, ["doc_id", "th"], "left_semi").select(F.col("doc_id").alias("id"), "th", "n", "sketch").dropDuplicates(["id"])
+    # a node is a set of shingles, whichever documents have it
+    known = sk.filter("n > 0 and doc_id is not null").withColumn("id", F.xxhash64("f1", "f2"))
+    owners = sc.save(known.select("doc_id", "th", "id").distinct(), "owners")
+    heads = owners.groupBy("id").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("id", "x.doc_id", "x.th")
+    nodes = known.join(heads, ["id", "doc_id", "th"], "left_semi").select("id", "doc_id", "th", "n", "sketch").dropDuplicates(["id"])
     nodes = sc.save(nodes, "nodes")
     sc.tidy()
     keys = band_keys(nodes)
@@ -280,9 +280,9 @@ def near_duplicates(
     rows = sc.save(keys.join(sc.save(groups, "groups"), "key"), "buckets")
     sc.tidy("groups")
     tried = sc.save(plausible(rows.filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), nodes, threshold), "try_0")
-    met = sc.save(rows.select("id").distinct().join(nodes.select("id", "th"), "id"), "met")
-    some = filters.keep(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text"), "id", filters.build(met, "id"))
-    texts = sc.save(some.join(met, ["id", "th"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "texts")
+    met = sc.save(rows.select("id").distinct().join(nodes.select("id", "doc_id", "th"), "id"), "met")
+    some = filters.keep(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), "th", filters.build(met, "th"))
+    texts = sc.save(some.join(met, ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"]), "texts")
     sc.tidy("met")
     tested = sc.save(confirm(tried, texts, shingle, threshold), "tested_0")
     links = sc.save(tested.filter("linked").select("a", "b"), "links_0")
@@ -304,11 +304,15 @@ def near_duplicates(
     members = members.select("key", F.least("o", "other").alias("p"), F.greatest("o", "other").alias("q"), side.alias("side"), "id", "c", band.alias("band"), "sketch", "text", F.col("size").alias("n"))
     links = sc.save(links.unionByName(_across(members, threshold, shingle)), "links_2")
     sc.tidy("buckets", "labelled", "texts", "nodes", "links_1", "comp_1")
-    # components are those of one document of each set; its copies follow it
-    final = components(links, sc, "final").withColumnRenamed("id", "rep")
-    of_set = sc.save(reps.join(final, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")), "sets")
-    of_doc = sc.save(ids.join(of_set, ["f1", "f2"]).select("doc_id", "component_id"), "documents")
-    sc.tidy("ids", "reps", "links_2", "sets")
+    # the texts of one document are linked; a component of sets has the smallest id of all their documents
+    of_doc = sc.save(owners.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("doc_id", "lo"), "several")
+    links = links.unionByName(owners.join(of_doc, "doc_id").filter("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")))
+    final = components(links, sc, "final")
+    placed = owners.select("doc_id", "id").join(final, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))
+    placed = sc.save(placed.groupBy("doc_id").agg(F.min("c").alias("c")), "placed")
+    lowest = sc.save(placed.groupBy("c").agg(F.min("doc_id").alias("component_id")), "lowest")
+    of_doc = sc.save(placed.join(lowest, "c").select("doc_id", "component_id"), "documents")
+    sc.tidy("owners", "several", "links_2", "placed", "lowest")
     rows = sk.select("doc_id", F.col("n").alias("n_shingles"))
     out = rows.filter("doc_id is not null").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     out = out.unionByName(rows.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
@@ -320,11 +324,10 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document, the smallest id, of each component; all columns stay.
 
-    ``whole`` (doc_id, text): the documents as they were before a stage cut lines out of them. Copies are then judged on
-    these texts first, those of other ids left out, and what stays on its own texts as well: a copy that lost all lines
-    but its altered ones is a copy still."""
-    sc = Scratch(spark, "near")
-    gone = lambda texts, ids: near_duplicates(spark, texts, shingle, threshold, ids).filter("not kept").select("doc_id").distinct()
+    ``whole`` (doc_id, text): the documents as they were before a stage cut lines out of them. Those of the ids of ``docs`` are
+    further texts of theirs, so that a copy that lost all lines but its altered ones is a copy still."""
+    texts = docs.select("doc_id", "text")
     if whole is not None:
-        docs = filters.without(docs, "doc_id", sc.save(gone(whole.select("doc_id", "text"), docs), "copies"))
-    return filters.without(docs, "doc_id", sc.save(gone(docs.select("doc_id", "text"), None), "gone"))
+        texts = texts.unionByName(whole.select("doc_id", "text"))
+    gone = near_duplicates(spark, texts, shingle, threshold, None if whole is None else docs).filter("not kept")
+    return filters.without(docs, "doc_id", Scratch(spark, "near").save(gone.select("doc_id").distinct(), "gone"))

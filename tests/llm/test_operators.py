@@ -489,6 +489,14 @@ def lost_by_estimate():
             return texts[2 * k : 2 * k + 2], regs[2 * k : 2 * k + 2], int(band[k].argmax())
 
 
+def test_minhash_links_any_text_of_a_document(spark):
+    base, other = prose(1, 80), prose(2, 80)
+    rows = [(1, base), (2, other), (3, base + " x"), (3, other + " y"), (4, prose(3, 80)), (5, prose(3, 80)), (5, None), (6, prose(4, 80))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
 def test_minhash_links_small_sets_whatever_their_estimate(spark):
     texts, regs, band = lost_by_estimate()
     assert near_components(texts)[1] == [0, 0]
