@@ -68,16 +68,18 @@ def train(spark: SparkSession, labelled: DataFrame, scratch: Scratch, bits: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = b.column(1)
+            y, o = b.column(1), b.column(2)
             for i, j, buf, off in textops.chunks(b.column(0)):
                 f, d = features(buf, off, bits)
                 k = np.unique((d << bits) | f)
                 cut = np.searchsorted(k, np.arange(j - i + 1) << bits)
                 k &= (1 << bits) - 1
-                yield pa.RecordBatch.from_arrays([y.slice(i, j - i), pa.array([k[cut[r] : cut[r + 1]].astype("<i4").tobytes() for r in range(j - i)], pa.binary())], names=["y", "f"])
+                cells = pa.array([k[cut[r] : cut[r + 1]].astype("<i4").tobytes() for r in range(j - i)], pa.binary())
+                yield pa.RecordBatch.from_arrays([y.slice(i, j - i), o.slice(i, j - i), cells], names=["y", "o", "f"])
 
-    # in an order that does not follow the table's, so that no stretch of the stream is of one kind
-    rows = scratch.save(part.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", F.lit("order")).alias("_o")).repartitionByRange(16, "_o").sortWithinPartitions("_o").select("text", "y").mapInArrow(run, "y int, f binary"), "features")
+    hashed = part.select("text", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", F.lit("order")).alias("o")).mapInArrow(run, "y int, o long, f binary")
+    # in an order that does not follow the table's, so that no stretch of the stream is of one kind, and is the same each time
+    rows = scratch.save(hashed, "features").orderBy("o", "y", "f").select("y", "f")
     model = Ftrl(bits, alpha, beta, l1, l2)
     for _ in range(epochs):
         for r in rows.toLocalIterator():
