@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from panels import EIGEN, T_NPC2, TINY, golden, tiny
 from pyspark.sql import functions as F
@@ -108,6 +109,54 @@ def test_pca(spark, small):
     assert popstruct.sample_patterns(small.patterns, 4).count() == 4
 
 
+def test_gram_in_bands(spark, monkeypatch):
+    """Bands of few rows, records and passes of few carriers: the same matrix, sums and components as from whole matrices, and no
+    task holds one."""
+    rng, n = np.random.default_rng(3), 150
+    rows = [(int(a), k) for k in range(400) for a in rng.choice(n - 1, rng.integers(1, 30) if k else n - 1, replace=False)]
+    p = panel.build_panel(spark.createDataFrame(rows, "acc_idx int, kmer_code long"), 16, n)
+    want, m = popstruct.gram(p.patterns, n), p.patterns.count()
+    monkeypatch.setattr(popstruct, "TILE", 8 * n * 7)
+    monkeypatch.setattr(popstruct, "CHUNK", 50)
+    t = popstruct.gram_rows(p.patterns, n, whole=0).toPandas()
+    assert len(t) == n * (n + 1) // 2 and not t.duplicated(["i", "j"]).any() and (t.i <= t.j).all()
+    assert np.allclose(t.g, want[t.i, t.j] * (m - 1), atol=1e-9)
+    assert np.allclose(popstruct.spectrum_sums(p.patterns, n, whole=0), popstruct.spectrum_sums(p.patterns, n), rtol=1e-12)
+    acc = spark.range(n).selectExpr("cast(id as int) acc_idx", "cast(id as string) accession")
+    a, b = (popstruct.pop_structure(p, acc, 5, whole=w).toPandas().drop(columns="accession").to_numpy() for w in (0, n))
+    assert np.allclose(a, b, atol=1e-6)
+
+
+def test_sample_is_the_least_hashes(spark, small):
+    """As ordering all patterns gives it, but the plan holds no words beside the order."""
+    want = small.patterns.orderBy(F.xxhash64("pattern_id", F.lit(7)), "pattern_id").limit(4)
+    got = popstruct.sample_patterns(small.patterns, 4, 7)
+    assert sorted(r.pattern_id for r in got.collect()) == sorted(r.pattern_id for r in want.collect())
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString().split("Scan")[0]
+    assert popstruct.sample_patterns(small.patterns, 99).count() == small.patterns.count()
+
+
+def test_scoring_unpacks_a_bounded_matrix():
+    """However many accessions there are: at 60,000, an Arrow batch of 1,100 patterns was a matrix of 530 MB."""
+    n = 60_000
+    b = pa.RecordBatch.from_arrays([pa.array(range(1100)), pa.array([[1] * 938] * 1100, pa.list_(pa.int64()))], names=["pattern_id", "words"])
+    parts = list(popstruct.slices(b, n))
+    assert sum(len(x) for x in parts) == len(b) and [i for x in parts for i in x.column(0).to_pylist()] == list(range(1100))
+    assert all(popstruct.unpack(x.column(1), n).size <= popstruct.CELLS for x in parts)
+    assert [len(x) for x in popstruct.slices(b, 10**9)] == [1] * 1100
+
+
+def test_cells_expand_to_dense_rows(spark):
+    """Codes without most stripes, and one whose accessions are all outside the panel."""
+    rows = spark.createDataFrame([(0, 1), (63, 1), (64, 2), (200, 2), (319, 2), (130, 3), (999, 4)] + [(a, 5) for a in range(320)], "acc_idx int, kmer_code long")
+    got = {r.kmer_code: list(r.words) for r in panel.dense(panel.stripes(rows), 320).collect()}
+    full, low = [-1] * 5, -(2**63)
+    assert got == {1: [1 + low, 0, 0, 0, 0], 2: [0, 1, 0, 1 << 8, low], 3: [0, 0, 4, 0, 0], 4: [0] * 5, 5: full}
+    p = panel.build_panel(rows, 16, 320)
+    assert {r["rep"]: list(r.words) for r in p.patterns.collect()} == got
+    assert {r["rep"]: r.n_carriers for r in p.patterns.collect()} == {1: 2, 2: 3, 3: 1, 4: 0, 5: 320}
+
+
 def traits(spark):
     return spark.createDataFrame([(a, y) for a, _, y in TINY], "accession string, trait1 double")
 
