@@ -18,6 +18,8 @@ from . import textops
 
 #: Largest filter, 2**26 bits or 8 MB, for up to 2**23 keys; bits a key, hashes.
 BITS, PER_KEY, HASHES = 26, 8, 4
+#: Bytes of a filter that one row holds.
+PIECE = 1 << 20
 #: Lets everything through.
 OPEN = np.full(1, 255, np.uint8)
 
@@ -28,6 +30,13 @@ def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((low + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(HASHES)]
 
 
+def mark(bits: np.ndarray, at: np.ndarray) -> None:
+    """Sets the bits ``at`` of a packed filter, one place in the byte after the other, so that no two writes to a byte differ."""
+    byte, place = at >> 3, at & 7
+    for k in range(8):
+        bits[byte[place == k]] |= np.uint8(128 >> k)
+
+
 def build(df: DataFrame, column: str, most: int = BITS) -> np.ndarray:
     """Filter of at most 2**``most`` bits with all values of a BIGINT column."""
     keys = df.select(column).filter(f"{column} is not null")
@@ -38,16 +47,18 @@ def build(df: DataFrame, column: str, most: int = BITS) -> np.ndarray:
     size = min(size, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << size, bool)
+        bits = np.zeros((1 << size) // 8, np.uint8)
         for b in batches:
             for at in places(b.column(0).to_numpy(zero_copy_only=False), size):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
+                mark(bits, at)
+        for i in range(0, len(bits), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([bits[i : i + PIECE].tobytes()])], names=["at", "bits"])
 
     out = np.zeros((1 << size) // 8, np.uint8)
-    tasks = min(8, partitions(df.sparkSession))  # a bounded number of keys, and one row a task
-    for r in keys.repartition(tasks).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
+    tasks = min(8, partitions(df.sparkSession))  # a bounded number of keys, and one filter a task
+    for r in keys.repartition(tasks).mapInArrow(run, "at long, bits binary").toLocalIterator():
+        got = np.frombuffer(r["bits"], np.uint8)
+        out[r["at"] : r["at"] + len(got)] |= got
     return out
 
 

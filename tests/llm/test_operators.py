@@ -4,10 +4,12 @@ import collections
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -632,6 +634,39 @@ def test_katz(spark, monkeypatch, frequent):
         assert math.isclose(r["base_score"], w[4], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r["score"], w[5], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_filters_take_a_bit_a_place(spark):
+    """A task that fills a filter holds its packed bits, not a byte for each, and hands them on in pieces."""
+    keys, rows = np.random.default_rng(3).integers(-(2**62), 2**62, 1_000_000), []
+
+    class Keys:
+        """As much of a DataFrame as ``build`` asks for, whose one task runs here."""
+
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        filter = repartition = select
+
+        def count(self):
+            return len(keys)
+
+        def mapInArrow(self, run, schema):
+            for b in run(pa.RecordBatch.from_arrays([pa.array(keys[i : i + 10_000])], names=["key"]) for i in range(0, len(keys), 10_000)):
+                rows.extend(b.to_pylist())
+            return self
+
+        def toLocalIterator(self):
+            return iter(rows)
+
+    tracemalloc.start()
+    bits = filters.build(Keys(), "key")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bits) == 1 << 21 and most < 6 * len(bits) and len(rows) == 2
+    assert filters.has(keys, bits).all() and filters.has(keys + 2**62, bits).mean() < 0.05
+
+
 def test_katz_at_work(spark, monkeypatch, tmp_path):
     """The query, with filters that let nothing be known in the tasks and pieces of a few records."""
     monkeypatch.setattr(katz, "WORDS", 10)
