@@ -91,6 +91,38 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "g").count() == 0
 
 
+def test_least_matches_search():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (40, 20), (400, 390), (3000, 1000)):
+        a, b = rng.integers(-n, n, (2, m))
+        near = collections.defaultdict(set)
+        for x, y in zip(a.tolist(), b.tolist()):
+            near[x].add(y)
+            near[y].add(x)
+        want = {}
+        for x in sorted(near):
+            todo = [x]
+            while todo:
+                if (y := todo.pop()) not in want:
+                    want[y] = x
+                    todo += near[y]
+        ids, low = graph.least(a, b)
+        assert dict(zip(ids.tolist(), low.tolist())) == want
+
+
+@pytest.mark.parametrize("few", [1 << 20, 60, 0])
+def test_few_edges_take_no_rounds(spark, monkeypatch, few):
+    """A path, a star and a pair: alike whether one task solves the edges, rounds come before or rounds do it all; one table is written where no round is due."""
+    monkeypatch.setattr(graph, "FEW", few)
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (saved.append(name), save(self, df, name))[1])
+    edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(30)] + [(-7, 1 << 62), (5, 5)]
+    want = dict.fromkeys(range(51), 0) | {100: 100} | {200 + i: 100 for i in range(30)} | {-7: -7, 1 << 62: -7}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "g").collect()
+    assert len(got) == len(want) and {r["id"]: r["component"] for r in got} == want
+    assert (len(saved) == 1) == (few > len(edges))
+
+
 # --- 1 mixing
 
 
