@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -123,6 +124,25 @@ def test_few_edges_take_no_rounds(spark, monkeypatch, few):
     assert (len(saved) == 1) == (few > len(edges))
 
 
+def test_saving_leaves_no_shuffle_files(spark):
+    """Without any collector having run: a stage's later tables would else lie on disk beside the shuffles of the earlier ones."""
+    import glob
+
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    found = lambda: {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    was, key = found(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(2000).withColumn("k", F.col("id") % 70)
+    saved = Scratch(spark, "t").save(rows.groupBy("k").count().join(rows.hint("merge"), "k").dropDuplicates(["id"]), "joined")
+    for _ in range(100):
+        if not (left := found() - was):
+            break
+        time.sleep(0.1)
+    assert not left and saved.count() == 2000 and spark.conf.get(key) == "false"
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        Scratch(spark, "t").save(rows.select(F.expr("1 div (k - 3)").alias("x")), "failed")
+    assert spark.conf.get(key) == "false"
+
+
 # --- 1 mixing
 
 
