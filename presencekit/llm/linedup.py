@@ -279,9 +279,12 @@ def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until:
 
     def meetings(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, doc, line, parity, upper, n, place, side = cols
+        # a bound on the bits that two sets may differ in is the sum of theirs; a little above it, for exact tests follow
+        room = np.minimum(n * ((den - num) / (den + num)) + 0.01, 64).astype(np.float32)
         n, place = n.astype(np.int64), place.astype(np.int64)
-        start = np.searchsorted(key, key)
-        size = np.searchsorted(key, key, side="right") - start
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(edge, len(key)))
+        start, size = np.repeat(edge, size), np.repeat(size, size)
         rank = np.arange(len(key)) - start
         wanted = rank > 0
         if asked is not None:
@@ -304,24 +307,35 @@ def candidates(listed: DataFrame, threshold: tuple[int, int], after: int, until:
         step = 1
         while len(live):  # all short lists at once: each entry with the one ``step`` before it, until it has enough
             live = live[rank[live] >= step]
-            ok = passes(live - step, live)
-            if ok.any():
-                yield live[ok] - step, live[ok]
-                got[live[ok]] += 1
+            b = live[np.bitwise_count(parity[live] ^ parity[live - step]) <= room[live] + room[live - step]]
+            b = b[passes(b - step, b)]
+            if len(b):
+                yield b - step, b
+                got[b] += 1
                 if until is not None:
                     live = live[got[live] <= until]
             step += 1
-        for b in np.flatnonzero(wanted & (size > 256)):
-            at, found = b, 0
-            while at > start[b] and (until is None or found <= until):  # backwards, a few thousand at a time
-                a = np.arange(max(start[b], at - 4096), at)
-                at = a[0]
-                a = a[passes(a, np.full(len(a), b))]
-                if until is not None:
-                    a = a[::-1][: until + 1 - found]
-                if len(a):
-                    found += len(a)
-                    yield a, np.full(len(a), b)
+        far = np.flatnonzero(wanted & (size > 256))
+        for own in np.split(far, np.flatnonzero(np.diff(start[far])) + 1):
+            for i in range(0, len(own), 64):  # 64 entries of a list at once with about a thousand before them, and so on backwards
+                left = own[i : i + 64]
+                at = left[-1] if len(left) else 0
+                while len(left) and at > start[left[0]]:
+                    a = np.arange(at - 1, max(start[left[0]], at - 1024) - 1, -1)
+                    at = a[-1]
+                    near = np.bitwise_count(parity[left][:, None] ^ parity[a]) <= room[left][:, None] + room[a]
+                    near &= a < left[:, None]
+                    b, a = (z[k] for z, k in zip((left, a), np.nonzero(near)))
+                    ok = passes(a, b)
+                    a, b = a[ok], b[ok]
+                    if not len(b):
+                        continue
+                    if until is not None:  # nearest first
+                        ok = np.arange(len(b)) - np.searchsorted(b, b) + got[b] <= until
+                        a, b = a[ok], b[ok]
+                        np.add.at(got, b, 1)
+                        left = left[got[left] <= until]
+                    yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -293,6 +293,53 @@ def lines_gone(texts):
     return gone
 
 
+class Blobs:
+    """Lists of index entries, run here and not in workers."""
+
+    def __init__(self, *cols):
+        self.data = np.int64(len(cols[0])).tobytes() + b"".join(np.asarray(c).astype(t).tobytes() for c, t in zip(cols, linedup.KINDS))
+
+    def mapInArrow(self, f, schema):
+        return [tuple(r.values()) for b in f(iter([pa.RecordBatch.from_arrays([pa.array([self.data], pa.binary())], names=["data"])])) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("m", [200, 1500])
+def test_unlike_lines_take_no_exact_tests(monkeypatch, m):
+    """A list's pairs by brute force; all exact bounds are worked out for pairs only that the parities leave."""
+    rng = np.random.default_rng(m)
+    lines = [{int(x) for x in rng.integers(0, 1 << 40, rng.integers(8, 90))} for _ in range(m // 3)]
+    lines += [{*sorted(s)[k % 3 :], *range(k % 2)} for k, s in enumerate(lines + lines)]
+    lines = [lines[k] for k in rng.permutation(len(lines))]
+    m, n = len(lines), np.array([len(s) for s in lines])
+    parity, upper = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+    for k, s in enumerate(lines):
+        h = textops.mix(np.array(sorted(s), np.uint64))
+        bit = np.uint64(1) << (h & np.uint64(63))
+        parity[k], over = np.bitwise_xor.reduce(bit), np.bitwise_xor.reduce(np.where(h & np.uint64(64), bit, np.uint64(0)))
+        upper[k] = over if len(s) >= linedup.WIDE else 0
+    blobs = Blobs(np.full(m, 9), np.arange(m), np.zeros(m), parity, upper, n, np.zeros(m), np.full(m, 2))
+    seen, need = [], linedup._need
+    monkeypatch.setattr(linedup, "_need", lambda a, *x: (seen.append(len(a)), need(a, *x))[1])
+    got = linedup.candidates(blobs, (80, 100), 0, None)
+    assert sum(seen) < m * m / 2 / 5
+
+    def passes(a, b):
+        both = -(-80 * (n[a] + n[b]) // 180)
+        wide = min(n[a], n[b]) >= linedup.WIDE
+        x, y = int(parity[a] ^ parity[b]), int(upper[a] ^ upper[b])
+        return min(n[a], n[b]) >= both and (y.bit_count() + (x ^ y).bit_count() if wide else x.bit_count()) <= n[a] + n[b] - 2 * both
+
+    want = {(a, b) for b in range(m) for a in range(b) if passes(a, b)}
+    assert {(a, b) for a, _, b, _, _ in got} == want and len(got) == len(want)
+    assert {(a, b) for a in range(m) for b in range(a + 1, m) if 100 * len(lines[a] & lines[b]) >= 80 * len(lines[a] | lines[b])} <= want
+    for after, until in ((0, 1), (1, 3)):
+        nearest = {}
+        for a, b in sorted(want, key=lambda x: -x[0]):
+            nearest.setdefault(b, []).append(a)
+        few = {(a, b, len(x) > until) for b, x in nearest.items() for a in x[after:until]}
+        assert {(a, b, more) for a, _, b, _, more in linedup.candidates(blobs, (80, 100), after, until)} == few
+
+
 def near(text, changes, tag):
     w = text.split()
     for i in changes:
