@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -184,6 +186,22 @@ def test_gwas_refuses(spark, small):
             gwas.gwas(small, y, x, acc, npc)
 
 
+def test_design_holds_numbers_of_the_phenotyped(spark):
+    """The driver's Python does not hold a row of the population table for each accession: 300,000 took over 100 MB."""
+    n = 300_000
+    acc = spark.range(n).selectExpr("cast(id as int) acc_idx", "cast(id as string) accession")
+    pop = spark.range(n).selectExpr("cast(id as string) accession", "sqrt(id) PC1", "id % 2 PC2").unionByName(spark.createDataFrame([("8", -1.0, 7)], "accession string, PC1 double, PC2 long"))
+    pheno = spark.createDataFrame([(str(i), i % 3) for i in (*range(40, 0, -2), 8)], "accession string, `a trait` int")
+    tracemalloc.start()
+    names, at, y, c = gwas.design(pheno, pop, acc, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = sorted([*range(2, 41, 2), 8])
+    assert names == ["a trait"] and at.tolist() == want and y[:, 0].tolist() == [i % 3 for i in want]
+    assert np.allclose(c, [[1, -1, 7] if i == 8 else [1, i**0.5, 0] for i in want])  # of equal keys the last row
+    assert most < 20e6
+
+
 def test_gwas_skips_what_all_or_none_carry(spark):
     df = spark.createDataFrame([(i, 1) for i in range(6)] + [(i, 2) for i in (0, 3)], "acc_idx int, kmer_code long")
     p = panel.build_panel(df, 3, 6)
