@@ -138,6 +138,15 @@ def test_sample_is_the_least_hashes(spark, small):
     assert popstruct.sample_patterns(small.patterns, 99).count() == small.patterns.count()
 
 
+def test_no_sample_unless_asked_for(spark, small, monkeypatch):
+    """All patterns count, however many: over 500,000, a sample of 100,000 was taken."""
+    monkeypatch.setattr(popstruct, "SAMPLE_ABOVE", 5, raising=False)
+    monkeypatch.setattr(popstruct, "SAMPLE", 4, raising=False)
+    assert popstruct.sample_patterns(small.patterns).count() == small.patterns.count() == 10
+    v = popstruct.pop_structure(small, tiny(spark).select("acc_idx", "accession"), 5).toPandas().drop(columns="accession").to_numpy()
+    assert np.allclose(popstruct.gram(small.patterns, 6) @ v, v * np.array(EIGEN[:0:-1]), atol=1e-6)
+
+
 def test_scoring_unpacks_a_bounded_matrix():
     """However many accessions there are: at 60,000, an Arrow batch of 1,100 patterns was a matrix of 530 MB."""
     n = 60_000
